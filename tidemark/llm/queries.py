@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, packing, secrets, substrings
+from tidemark.llm import bpe, jaccard, packing, secrets, substrings, vectors
 from tidemark.llm.common import table
 
 
@@ -29,9 +30,17 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op9_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_bpe, op4_ngram_jaccard_join, op5_substring_dedup, op6_secret_scans)
+    for f in (op1_best_fit_packing, op3_bpe, op4_ngram_jaccard_join, op5_substring_dedup, op6_secret_scans, op7_exact_top_k, op9_near_neighbours)
 }
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -62,4 +71,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, len(ws)::BIGINT AS n_words, len(ps)::BIGINT AS n_removed,
             sha256(array_to_string(CASE WHEN len(ps) = 0 THEN ws ELSE list_filter(ws, lambda u, j: NOT list_contains(ps, j - 1)) END, ' ')) AS kept_sha256
         FROM x""",
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id != c.vec_id
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
 }
