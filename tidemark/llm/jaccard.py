@@ -295,8 +295,14 @@ def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: s
 
     Rows with a null id stay; of rows that repeat the same id one stays.
     """
-    grouped = groups(docs, size, id_col, text_col).select(F.col(id_col).alias("id__"), "component_id")
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    grouped = scratch.save(groups(docs, size, id_col, text_col).select(F.col(id_col).alias("id__"), "component_id").where("id__ is not null"), "groups")
     gone = grouped.where("component_id != id__").select("id__").distinct()
-    left = docs.join(gone, F.col(id_col).cast("bigint") == F.col("id__"), "left_anti")
-    once = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return once.unionByName(left.where(F.col(id_col).isNull()))
+    few = gone.count() <= SMALL_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("bigint") == F.col("id__"), "left_anti")
+    twice = grouped.groupBy("id__").count().where("count > 1").select("id__")
+    if twice.isEmpty():
+        return left
+    again = F.col(id_col).cast("bigint") == F.col("id__")
+    once = left.join(twice, again, "left_semi").dropDuplicates([id_col])
+    return left.join(twice, again, "left_anti").unionByName(once)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, jaccard, packing, secrets, substrings, vectors
+from tidemark.llm import bpe, jaccard, licenses, packing, quality, secrets, substrings, toxicity, vectors
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -34,14 +38,25 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_near_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op3_bpe, op4_ngram_jaccard_join, op5_substring_dedup, op6_secret_scans, op7_exact_top_k, op9_near_neighbours)
-}
+    for f in (
+        op1_best_fit_packing, op2_toxicity, op3_bpe, op4_ngram_jaccard_join, op5_substring_dedup,
+        op6_secret_scans, op7_exact_top_k, op8_quality, op9_near_neighbours, op10_license_scans,
+    )
+}
 
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 ORACLE_SQL: dict[str, str] = {

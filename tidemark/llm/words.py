@@ -1,6 +1,6 @@
 """Words and word sequences of many texts as arrays of 64-bit hashes, without a Python object a word.
 
-A word is a run of bytes other than space and 0x09-0x0D. Its hash is a polynomial over random numbers
+A word is a run of bytes other than space and 0x09-0x0D (or other gaps). Its hash is a polynomial over random numbers
 for its bytes; a sequence's hash is a polynomial over its words' hashes, built by doubling.
 """
 
@@ -17,6 +17,8 @@ P, Q, WRAP = np.uint64(0x9FB21C651E98DF25), 0xD6E8FEB86659FD93, (1 << 64) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -27,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Texts:
     """The words of a slice of texts (nulls count as empty): hash, text, and place in the bytes."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE):
         column = column.cast(pa.large_string()).fill_null("")
         column = pa.concat_arrays([column]) if column.offset else column
         n = len(column)
@@ -35,7 +37,7 @@ class Texts:
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
         offsets = offsets - offsets[0]
         self.n, self.data, self.offsets = n, data, offsets
-        inside = ~SPACE[data]
+        inside = ~gaps[data]
         begins, stops = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
         stops[:-1] &= ~inside[1:]
