@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,3 +86,12 @@ class Files:
             F.col("length").alias("size"),
             F.unix_millis("modificationTime").alias("time"),
         )
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
