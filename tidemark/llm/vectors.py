@@ -76,7 +76,7 @@ class Best:
         return names[q], self.id[q, j], self.score[q, j]
 
 
-def query_blocks(rows: DataFrame, is_query: Column) -> Iterator[tuple[np.ndarray, list]]:
+def query_blocks(rows: DataFrame, is_query: Column | str) -> Iterator[tuple[np.ndarray, list]]:
     """The queries, some ten thousands at a time: ids and vectors."""
     wanted = rows.where(is_query).dropDuplicates(["id"])
     blocks = max(1, -(-wanted.count() // (BLOCK * 3 // 4)))
@@ -87,7 +87,7 @@ def query_blocks(rows: DataFrame, is_query: Column) -> Iterator[tuple[np.ndarray
             yield np.array([i for i, _ in got], np.int64), [v for _, v in got]
 
 
-def exact_top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def exact_top_k(df: DataFrame, is_query: Column | str, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Of each query the k candidates with the highest inner product of ``floor(scale * x)``, exactly.
 
     Three phases with one threshold for all nodes (tasks): (1) each node ranks its candidates by a
@@ -201,7 +201,7 @@ def chi_square(dims: int, share: float) -> float:
     return dims * (1 - 2 / (9 * dims) + z * (2 / (9 * dims)) ** 0.5) ** 3
 
 
-def near(df: DataFrame, is_query: Column, k: int = 20, projections: int = 8, share: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
+def near(df: DataFrame, is_query: Column | str, k: int = 20, projections: int = 8, share: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", seed: int = 7) -> DataFrame:
     """Of each query about the k nearest candidates by inner product.
 
     A vector gets one component more, so that all have the largest norm M; distances then order as inner
