@@ -450,7 +450,7 @@ def stream_counts(spark, sf_dir):
 
 @query(None)
 def stream_tumbling(spark, sf_dir):
-    return windows.drained(windows.tumbling(windows.events(spark, f"{sf_dir}/events.parquet"), "ts", "event_type"), "stream-tumbling")
+    return windows.drained(windows.tumbling(windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), "stream-tumbling")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
