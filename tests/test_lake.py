@@ -147,6 +147,23 @@ class TestTables:
         assert lake.sql(q).first()[0] == 4
 
 
+    @pytest.mark.parametrize("provider", ["parquet", "csv", "delta"])
+    def test_save_as_table(self, lake, db, provider):
+        df = lake.spark.range(3).selectExpr("id", "id % 2 as p")
+        for mode in ("errorifexists", "append", "ignore"):
+            lake.save_as_table(df, f"{db}.t", provider, mode, ("p",))
+        assert lake.table(f"{db}.t").count() == 6
+        with pytest.raises(Exception, match="ALREADY_EXISTS"):
+            lake.save_as_table(df, f"{db}.t", provider)
+        lake.save_as_table(df, f"{db}.t", provider, "overwrite")
+        assert lake.table(f"{db}.t").count() == 3
+
+    def test_replacement_may_read_what_it_replaces(self, lake, db):
+        lake.sql(f"create table {db}.t using parquet as select 1 a")
+        lake.sql(f"create or replace table {db}.t using orc as select a + 1 as a from {db}.t")
+        assert rows(lake.table(f"{db}.t")) == [(2,)]
+
+
 class TestCatalog:
     def test_namespaces(self, lake, db):
         cat, name = lake.catalogs["cat"], db.split(".")[1]
