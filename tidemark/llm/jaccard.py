@@ -5,9 +5,9 @@
    3/4 each set offers a quarter of its shingles. The order is by frequency within a fixed share of the
    hash range, then by hash, so a common line or passage is offered only by sets that hold little else.
    One shuffle of that share counts frequencies; a shingle of one document alone is dropped there.
-3. Sets under one shingle form a block. Each is first compared with the block's smallest and largest id
-   (linear in the block), and the pairs found merge components, so a large group of near copies is soon
-   one component and its blocks are done.
+3. Sets under one shingle form a block, led by its smallest id (in a second round, its largest). A set is
+   first compared with one lead, the one that it meets in most blocks, so this is linear in the sets; the
+   links found merge components, and a large group of near copies is soon one component, its blocks done.
 4. Where a block still holds several components, their count vectors go into an R-tree: shingles are
    hashed to groups, a set is the point of its group counts, and the summed minima of two points (or of a
    point and a node's upper corner) bound the overlap. Pairs of different components that the bound
@@ -38,8 +38,10 @@ from tidemark.llm.words import Texts, mix
 
 #: The share of the hash range in which shingles are ordered by frequency; a prefix takes a quarter.
 BAND = int(0.36 * 2**63)
-GROUPS = 64
+GROUPS = 128
+FULL = 65_535  # a group's count is this or more
 SMALL_IDS = 1_000_000  # up to so many 64-bit ids may be broadcast
+SLICE = 3 << 20  # bytes of text that are hashed at once
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -70,7 +72,7 @@ def _mapped(docs: DataFrame, schema: str, of_set, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 8192, 8 << 20):
+            for part in slices(batch, 8192, SLICE):
                 rows = [of_set(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size), strict=True)]
                 yield from (pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow) for cols in [list(zip(*rows, strict=True))] if cols)
 
@@ -83,7 +85,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def of_set(i, s):
         u = s.view(np.uint64)
         h1, h2 = (int(np.sum(mix(u ^ np.uint64(k)), dtype=np.uint64).view(np.int64)) for k in (0x51ED27, 0xC0FFEE11))
-        counts = np.bincount(s & (GROUPS - 1), minlength=GROUPS).astype("<u4").tobytes()
+        counts = np.minimum(np.bincount(s & (GROUPS - 1), minlength=GROUPS), FULL).astype("<u2").tobytes()
         return i, len(s), int(np.searchsorted(s, BAND)), h1, h2, counts
 
     return _mapped(docs, "id bigint, n bigint, nb bigint, h1 bigint, h2 bigint, vec binary", of_set, size)
@@ -95,7 +97,7 @@ def offered(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 8192, 8 << 20):
+            for part in slices(batch, 8192, SLICE):
                 sets = [s[: max(int(np.searchsorted(s, BAND)), min(len(s), probe(len(s))))] for s in shingle_sets(part.column(1), size)]
                 ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets) if sets else [], pa.int64())], schema=arrow)
@@ -108,6 +110,13 @@ def need(a, b):
     return (3 * (a + b) + 6) // 7
 
 
+def vectors(column: list[bytes]) -> np.ndarray:
+    """Count vectors as rows; a group that may hold more than a vector can say counts as endless."""
+    out = np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    out[out == FULL] = 1 << 40
+    return out
+
+
 class CountTree:
     """An R-tree over count vectors, packed by size and then by the widest groups."""
 
@@ -116,18 +125,15 @@ class CountTree:
         widest = np.argsort(-points.var(0))[:2]
         slab = max(leaf, int(np.ceil(np.sqrt(len(order) / leaf))) * leaf)
         order = np.concatenate([part[np.lexsort((points[part, widest[1]], points[part, widest[0]] // 4))] for part in np.split(order, range(slab, len(order), slab))])
-        self.order, self.points, self.sizes = order, points, sizes
-        self.levels = []
-        groups = [order[i : i + leaf] for i in range(0, len(order), leaf)]
-        self.leaves = groups
-        top = np.array([points[g].max(0) for g in groups])
-        low, high = np.array([sizes[g].min() for g in groups]), np.array([sizes[g].max() for g in groups])
-        self.levels.append((top, low, high))
+        self.points, self.sizes, self.leaf = points, sizes, leaf
+        self.leaves = [order[i : i + leaf] for i in range(0, len(order), leaf)]
+        top = np.array([points[g].max(0) for g in self.leaves])
+        low, high = np.array([sizes[g].min() for g in self.leaves]), np.array([sizes[g].max() for g in self.leaves])
+        self.levels = [(top, low, high)]
         while len(top) > leaf:
             cut = range(0, len(top), leaf)
             top, low, high = np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
             self.levels.append((top, low, high))
-        self.leaf = leaf
 
     def search(self, q: int) -> np.ndarray:
         """Numbers of the points that the bounds cannot tell apart from point ``q``."""
@@ -142,38 +148,51 @@ class CountTree:
                 live = live[live < len(self.levels[depth - 1][0])]
         found = np.concatenate([self.leaves[i] for i in live]) if len(live) else np.empty(0, np.int64)
         m = self.sizes[found]
-        found = found[(4 * np.minimum(m, n) >= 3 * np.maximum(m, n))]
+        found = found[4 * np.minimum(m, n) >= 3 * np.maximum(m, n)]
         return found[np.minimum(self.points[found], x).sum(1) >= need(n, self.sizes[found])]
 
 
+def block_pairs(block: pd.DataFrame) -> pd.DataFrame | None:
+    """Pairs of different components in one block that sizes, places and count vectors allow.
+
+    Searched from all but the largest component. A pair must be alike if the block's shingle is the first
+    that both have: what follows it in either must be enough. If both have the same shingle just before,
+    they meet in its block, too, and are left to it.
+    """
+    points = vectors(block["vec"].to_list())
+    n, comp, c, place, before = (block[k].to_numpy() for k in ("n", "comp", "c", "place", "before"))
+    names, held = np.unique(comp, return_counts=True)
+    ask = np.flatnonzero(comp != names[held.argmax()])
+    tree, out = CountTree(points, n), []
+    for q in ask.tolist():
+        others = tree.search(q)
+        others = others[(comp[others] != comp[q]) & ((before[others] != before[q]) | (before[others] < 0))]
+        enough = 1 + np.minimum(n[others] - place[others], n[q] - place[q]) >= need(n[others], n[q])
+        others = others[enough]
+        if len(others):
+            out.append((np.minimum(c[others], c[q]), np.maximum(c[others], c[q])))
+    if not out:
+        return None
+    return pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])}).drop_duplicates()
+
+
 def tree_pairs(blocks: DataFrame) -> DataFrame:
-    """Candidate pairs of different components out of (key, c, n, first, comp, vec), block by block."""
-
-    def of(block: pd.DataFrame) -> pd.DataFrame | None:
-        points = np.frombuffer(b"".join(block["vec"]), "<u4").reshape(len(block), GROUPS).astype(np.int64)
-        n, comp, c, first = (block[k].to_numpy() for k in ("n", "comp", "c", "first"))
-        tree, out = CountTree(points, n), []
-        for q in range(len(block)):
-            if not first[q]:  # found from the smaller set of a pair, which has the shared shingle at its front
-                continue
-            found = tree.search(q)
-            found = found[(comp[found] != comp[q]) & ((n[found] > n[q]) | (n[found] == n[q]))]
-            if len(found):
-                out.append(pd.DataFrame({"a": np.minimum(c[found], c[q]), "b": np.maximum(c[found], c[q])}))
-        return pd.concat(out).drop_duplicates() if out else None
+    """Candidate pairs of different components out of (key, c, n, place, before, comp, vec), block by block."""
 
     def run(frames):
         held: list[pd.DataFrame] = []
         for frame in frames:
             cuts = np.flatnonzero(np.diff(frame["key"].to_numpy())) + 1
-            for block in np.split(np.arange(len(frame)), cuts):
-                block = frame.iloc[block]
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)], strict=True):
+                block = frame.iloc[lo:hi]
+                if not len(block):
+                    continue
                 if held and held[0]["key"].iloc[0] != block["key"].iloc[0]:
-                    if (out := of(pd.concat(held, ignore_index=True))) is not None:
+                    if (out := block_pairs(pd.concat(held, ignore_index=True))) is not None:
                         yield out
                     held = []
                 held.append(block)
-        if held and (out := of(pd.concat(held, ignore_index=True))) is not None:
+        if held and (out := block_pairs(pd.concat(held, ignore_index=True))) is not None:
             yield out
 
     sorted_ = blocks.repartition(F.col("key")).sortWithinPartitions("key")
@@ -188,7 +207,7 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            va, vb = (np.frombuffer(b"".join(x.column(k).to_pylist()), "<u4").reshape(x.num_rows, GROUPS).astype(np.int64) for k in (4, 5))
+            va, vb = (vectors(x.column(k).to_pylist()) for k in (4, 5))
             fits = np.minimum(va, vb).sum(1) >= need(x.column(2).to_numpy(), x.column(3).to_numpy())
             yield x.select(["a", "b"]).filter(pa.array(fits))
 
@@ -257,13 +276,17 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
     of_class = shared.join(members.select("id", "c").distinct(), "id").select("key", "c").distinct()
     of_class = scratch.save(of_class.withColumn("df", F.count(F.lit(1)).over(by_key)).where("df > 1"), "shared")
     by_class = Window.partitionBy("c")
-    place = F.col("nb") - F.sum(F.col("inside").cast("bigint")).over(by_class) + F.row_number().over(by_class.orderBy(F.desc("inside"), "df", "key"))
+    order = by_class.orderBy(F.desc("inside"), "df", "key")
+    alone = F.col("nb") - F.sum(F.col("inside").cast("bigint")).over(by_class)  # shingles of one class come first
+    # Beyond the band shingles of one class are not counted, so there the place is the least that it can be.
+    place = F.row_number().over(order) + F.greatest(alone, F.lit(0))
     front = (
         of_class.join(classes.select("c", "n", "nb"), "c")
         .withColumn("inside", F.col("key") < BAND)
         .withColumn("place", place)
-        .where(F.expr("not inside or place <= n - (3 * n + 3) div 4 + 1"))
-        .select("key", "c", "n", F.expr("not inside or place <= n - (6 * n + 6) div 7 + 1").alias("first"))
+        .where("not inside or place <= n - (3 * n + 3) div 4 + 1")
+        .withColumn("before", F.coalesce(F.lag("key").over(order), F.lit(-1)))
+        .select("key", "c", "n", "place", "before")
     )
     front = scratch.save(front, "front")
     scratch.drop("shared")
@@ -272,11 +295,13 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
     comp = members.where("false").select("c", F.col("c").alias("comp"))
     for name, pick in (("least", F.min), ("most", F.max), ("tree", None)):
         open_ = front.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-        mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *([pick("c").alias("lead")] if pick else []))
+        mixed = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), *([pick(F.struct("c", "n")).alias("lead")] if pick else []))
         mixed = mixed.where("x != y").drop("x", "y")
         if pick:
-            pairs = open_.join(mixed, "key").where("c != lead").select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct()
-            pairs = bounded(pairs, classes)
+            # Of the leads of its blocks, a set is compared with the one that it meets most often.
+            met = open_.join(mixed, "key").where("c != lead.c and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("c", F.col("lead.c").alias("lead")).count()
+            most = met.groupBy("c").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
+            pairs = bounded(most.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), classes)
         else:
             pairs = tree_pairs(open_.join(mixed, "key").join(classes.select("c", "vec"), "c"))
         pairs = scratch.save(pairs, f"pairs-{name}")

@@ -36,6 +36,7 @@ from tidemark.llm.common import Scratch, arrow_schema, slices
 from tidemark.llm.words import Texts, least, mix
 
 GRAM = 5
+SLICE = 4 << 20  # bytes of text that are hashed at once
 UNIT = "key bigint, mh bigint, uh bigint, id bigint, th bigint, lo int, n int, again boolean"
 SPAN = "id bigint, th bigint, lo int, hi int"
 
@@ -50,7 +51,7 @@ def units(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 8192, 8 << 20):
+            for part in slices(batch, 8192, SLICE):
                 texts = Texts(part.column(1))
                 total = len(texts.hash)
                 if total < window:
@@ -156,7 +157,7 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch.select(["id", "text", "th", "units"]), 8192, 8 << 20):
+            for part in slices(batch.select(["id", "text", "th", "units"]), 8192, SLICE):
                 texts = Texts(part.column(1))
                 if len(texts.hash) < window:
                     continue
@@ -219,7 +220,7 @@ def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 2, id_col: st
 
     def run(parts):
         for batch in parts:
-            for part in slices(batch, 4096, 8 << 20):
+            for part in slices(batch, 4096, SLICE):
                 texts = Texts(part.column(1))
                 data = texts.data.tobytes()
                 removed, digest = [], []
