@@ -272,7 +272,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, groups: int = 128, id
     places = spark.sparkContext.broadcast(Places(plan(histogram, capacity, groups), capacity))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["task", "length"]).select(
+    # Tasks times lengths rows: they grow with the input, so they are never broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["task", "length"]).select(
         id_col, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("sequence_id")
     )
     schema = T.StructType([*ranked.schema.fields, T.StructField("offset", T.LongType())])
