@@ -53,9 +53,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int, chars: int, column: int = 1) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded rows and text bytes (a single longer text is a part of its own)."""
-    size = pc.fill_null(pc.binary_length(batch.column(1)), 0)
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0)
     start, held = 0, 0
     for i, n in enumerate(size.to_pylist()):
         if i > start and (held + n > chars or i - start >= rows):

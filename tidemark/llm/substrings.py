@@ -248,8 +248,7 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "do
 
     def run(parts):
         for batch in parts:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for part in slices(batch, 4096, SLICE, at):
                 texts = Texts(part.column(at))
                 data, out = texts.data.tobytes(), part.column(at).to_pylist()
                 for i, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
