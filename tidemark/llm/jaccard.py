@@ -27,13 +27,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, arrow_schema, slices
+from tidemark.llm.common import Scratch, arrow_schema, slices, spans
 from tidemark.llm.words import Texts, mix
 
 #: The share of the hash range in which shingles are ordered by frequency; a prefix takes a quarter.
@@ -110,10 +109,12 @@ def need(a, b):
     return (3 * (a + b) + 6) // 7
 
 
-def vectors(column: list[bytes]) -> np.ndarray:
+def vectors(column: pa.Array) -> np.ndarray:
     """Count vectors as rows; a group that may hold more than a vector can say counts as endless."""
-    out = np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int64)
-    out[out == FULL] = 1 << 40
+    first = column.offset
+    ends = np.frombuffer(column.buffers()[1], np.int32)[first : first + len(column) + 1]
+    out = np.frombuffer(column.buffers()[2], "<u2", (int(ends[-1]) - int(ends[0])) // 2, int(ends[0])).reshape(-1, GROUPS).astype(np.int32)
+    out[out == FULL] = 1 << 24
     return out
 
 
@@ -152,51 +153,88 @@ class CountTree:
         return found[np.minimum(self.points[found], x).sum(1) >= need(n, self.sizes[found])]
 
 
-def block_pairs(block: pd.DataFrame) -> pd.DataFrame | None:
-    """Pairs of different components in one block that sizes, places and count vectors allow.
-
-    Searched from all but the largest component. A pair must be alike if the block's shingle is the first
-    that both have: what follows it in either must be enough. If both have the same shingle just before,
-    they meet in its block, too, and are left to it.
-    """
-    points = vectors(block["vec"].to_list())
-    n, comp, c, place, before = (block[k].to_numpy() for k in ("n", "comp", "c", "place", "before"))
-    names, held = np.unique(comp, return_counts=True)
-    ask = np.flatnonzero(comp != names[held.argmax()])
-    tree, out = CountTree(points, n), []
-    for q in ask.tolist():
-        others = tree.search(q)
-        others = others[(comp[others] != comp[q]) & ((before[others] != before[q]) | (before[others] < 0))]
-        enough = 1 + np.minimum(n[others] - place[others], n[q] - place[q]) >= need(n[others], n[q])
-        others = others[enough]
-        if len(others):
-            out.append((np.minimum(c[others], c[q]), np.maximum(c[others], c[q])))
-    if not out:
-        return None
-    return pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])}).drop_duplicates()
-
-
-def tree_pairs(blocks: DataFrame) -> DataFrame:
+class Rows:
+    """Rows of whole blocks, laid end to end, as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.c, self.n, self.comp, self.place, self.before = (batch.column(k).to_numpy() for k in ("c", "n", "comp", "place", "before"))
+        self.points = vectors(batch.column(batch.schema.get_field_index("vec")))
+
+    def kept(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of one block may be alike, before their points are looked at.
+
+        Sizes must fit. If the block's shingle is the first that both have, it and what follows it in either
+        must be enough. If both have the same shingle just before, they meet in its block and are left to it.
+        """
+        m, n = self.n[x], self.n[y]
+        return (
+            (self.comp[x] != self.comp[y])
+            & (4 * np.minimum(m, n) >= 3 * np.maximum(m, n))
+            & ((self.before[x] != self.before[y]) | (self.before[x] < 0))
+            & (1 + np.minimum(m - self.place[x], n - self.place[y]) >= need(m, n))
+        )
+
+    def small(self, start: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of blocks of no more than a leaf or two, where a tree has nothing to skip: all at once."""
+        rows = np.repeat(start, size) + spans(size)
+        after = np.repeat(start + size, size) - rows - 1
+        cuts = np.flatnonzero(np.diff(np.cumsum(after) >> 19)) + 1
+        for r, k in zip(np.split(rows, cuts), np.split(after, cuts), strict=True):
+            x = np.repeat(r, k)
+            y = x + 1 + spans(k)
+            keep = self.kept(x, y)
+            x, y = x[keep], y[keep]
+            for at in range(0, len(x), 1 << 15):
+                u, v = x[at : at + (1 << 15)], y[at : at + (1 << 15)]
+                fits = np.minimum(self.points[u], self.points[v]).sum(1) >= need(self.n[u], self.n[v])
+                yield u[fits], v[fits]
+
+    def large(self, start: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of one block by a tree, searched from all but its largest component."""
+        own = np.arange(start, start + size)
+        names, held = np.unique(self.comp[own], return_counts=True)
+        tree = CountTree(self.points[own], self.n[own])
+        for q in np.flatnonzero(self.comp[own] != names[held.argmax()]).tolist():
+            y = start + tree.search(q)
+            x = np.full(len(y), start + q)
+            keep = self.kept(x, y)
+            yield x[keep], y[keep]
+
+
+def tree_pairs(blocks: DataFrame, leaf: int = 64) -> DataFrame:
     """Candidate pairs of different components out of (key, c, n, place, before, comp, vec), block by block."""
 
-    def run(frames):
-        held: list[pd.DataFrame] = []
-        for frame in frames:
-            cuts = np.flatnonzero(np.diff(frame["key"].to_numpy())) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frame)], strict=True):
-                block = frame.iloc[lo:hi]
-                if not len(block):
-                    continue
-                if held and held[0]["key"].iloc[0] != block["key"].iloc[0]:
-                    if (out := block_pairs(pd.concat(held, ignore_index=True))) is not None:
-                        yield out
-                    held = []
-                held.append(block)
-        if held and (out := block_pairs(pd.concat(held, ignore_index=True))) is not None:
-            yield out
-
-    sorted_ = blocks.repartition(F.col("key")).sortWithinPartitions("key")
-    return sorted_.mapInPandas(run, "a bigint, b bigint").distinct()
+    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
+        key = batch.column(0).to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(start, len(key)))
+        rows, found = Rows(batch), []
+        few = size <= leaf
+        found += rows.small(start[few], size[few])
+        for s, k in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
+            found += rows.large(s, k)
+        x, y = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+        both = np.unique(np.column_stack([np.minimum(rows.c[x], rows.c[y]), np.maximum(rows.c[x], rows.c[y])]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the last block, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            if held and key[0] == held[0].column(0)[0].as_py() and last == 0:
+                held.append(batch)
+                continue
+            whole = [*held, batch.slice(0, last)]
+            yield pairs(pa.concat_batches(whole) if len(whole) > 1 else whole[0]) if sum(map(len, whole)) else pa.RecordBatch.from_pydict({"a": [], "b": []}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            held = [batch.slice(last)]
+        if held:
+            yield pairs(pa.concat_batches(held))
+
+    sorted_ = blocks.select("key", "c", "n", "place", "before", "comp", "vec").repartition(F.col("key")).sortWithinPartitions("key")
+    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -207,7 +245,7 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for x in batches:
-            va, vb = (vectors(x.column(k).to_pylist()) for k in (4, 5))
+            va, vb = vectors(x.column(4)), vectors(x.column(5))
             fits = np.minimum(va, vb).sum(1) >= need(x.column(2).to_numpy(), x.column(3).to_numpy())
             yield x.select(["a", "b"]).filter(pa.array(fits))
 
@@ -220,11 +258,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, nam
     few = ids.count() <= SMALL_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    def run_set(i, s):
-        return i, s.tobytes()
-
-    sets = scratch.save(_mapped(texts, "id bigint, s binary", run_set, size).dropDuplicates(["id"]) if not few else _mapped(texts, "id bigint, s binary", run_set, size), f"sets-{name}", "none")
-    sets = sets.groupBy("id").agg(F.first("s").alias("s"))
+    raw = scratch.save(_mapped(texts, "id bigint, s binary", lambda i, s: (i, s.tobytes()), size), f"sets-{name}", "none")
+    sets = raw.groupBy("id").agg(F.first("s").alias("s"))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches):
