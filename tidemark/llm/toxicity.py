@@ -6,8 +6,8 @@ such words stand near a word for the second person, capitals, exclamation marks,
 disguised words (letters replaced by digits or signs, also looked up with the disguise undone).
 
 Labels come from a bounded sample of the training fold (``sample_rows``, chosen by a hash of the id): one
-half for the lexicon, the next for the trees, the rest for the calibration; below 2,000 rows all three
-use all of it. Texts are never sent to the driver, only lexicon entries and feature rows are. Every whole
+half for the lexicon, the next for the trees, the rest for the calibration; below 2,000 rows all use all
+of it, the calibration by fives. An entry must be more than chance among so many would give. Texts are never sent to the driver, only lexicon entries and feature rows are. Every whole
 text is scored. Without a sample of both labels all scores are the share of toxic ones, 0 if there are none.
 
 Null and empty texts get the score of their features like any other; rows with a null id are scored and
@@ -35,6 +35,8 @@ TOKEN = re.compile(r"[^\s]+")
 WORD = re.compile(r"[^\W_]+")
 TIERS = (6.5, 4.5, 3.0)
 STEMS = (4, 5, 6)
+#: Log-likelihood ratio below which an entry may be one of the many that differ by chance.
+LEAST_SURPRISE = 24.0
 MEMO = 200_000
 
 
@@ -208,7 +210,9 @@ def learn_lexicon(rows: DataFrame, most: int = 20_000) -> dict[str, float]:
         return {}
     counts = rows.mapInArrow(run, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     odds = F.log((F.col("p") + 0.1) / (toxic + 1)) - F.log((F.col("q") + 0.5) / (other + 1))
-    kept = counts.where("p >= 4").withColumn("odds", odds).where(F.col("odds") >= TIERS[-1])
+    share = (F.col("p") + F.col("q")) / (toxic + other)
+    surprise = lambda n, of: F.when(F.col(n) > 0, 2 * F.col(n) * F.log(F.col(n) / (share * of))).otherwise(0.0)
+    kept = counts.where("p >= 4").withColumn("odds", odds).where((F.col("odds") >= TIERS[-1]) & (surprise("p", toxic) + surprise("q", other) >= LEAST_SURPRISE))
     return {r["entry"]: r["odds"] for r in kept.orderBy(F.desc("odds"), "entry").limit(most).collect()}
 
 
@@ -253,11 +257,18 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "to
         return Model(lexicon, None, None, float(np.mean([r["y"] for r in got])) if got else 0.0)
     got.sort(key=lambda r: (r["part"], r["x"]))
     x, y, part = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), np.array([r["part"] for r in got])
-    fit, check = (part < 8, part >= 8) if apart else (part >= 0, part >= 0)
-    if len(set(y[fit])) < 2 or len(set(y[check])) < 2:
-        fit = check = part >= 0
-    trees = Trees().fit(x[fit], y[fit])
-    return Model(lexicon, trees, Isotonic(trees.raw(x[check]), y[check]), float(y.mean()))
+    if apart:
+        fit, check = part < 8, part >= 8
+        trees = Trees().fit(x[fit], y[fit])
+        return Model(lexicon, trees, Isotonic(trees.raw(x[check]), y[check]), float(y.mean()))
+    # With few rows each is calibrated by trees that have not seen it.
+    raw, turn = np.zeros(len(y)), np.empty(len(y), np.int64)
+    for value in (0, 1):
+        turn[y == value] = np.arange((y == value).sum()) % 5
+    for k in range(5):
+        if len(set(y[turn != k])) == 2 and (turn == k).any():
+            raw[turn == k] = Trees().fit(x[turn != k], y[turn != k]).raw(x[turn == k])
+    return Model(lexicon, Trees().fit(x, y), Isotonic(raw, y), float(y.mean()))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
