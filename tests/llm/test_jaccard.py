@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import jaccard
@@ -63,6 +64,47 @@ def test_components_are_those_of_all_pairs(spark):
     assert sorted(ids) == sorted({c for _, _, c in got if c is not None}) and kept.columns == docs.columns
 
 
+def short_variants(seed, families=700):
+    """Texts of eight shingles, parts of six (0.75 alike), and shorter parts that make some shingles more frequent."""
+    rng, rows = random.Random(seed), []
+    for f in range(families):
+        w = [f"f{f}x{rng.randint(0, 99999)}" for _ in range(12)]
+        at = rng.randint(0, 2)
+        rows += [w, w[at : at + 10]]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, 6)
+            rows.append(w[at : at + rng.randint(5, 7)])
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+def hidden_links(seed, tries=60000):
+    """A text of eight shingles beyond the band and its part of six, 0.75 alike, that meet under ``a`` alone: the
+    longer offers its own two and ``a``, the part ``a`` and ``b``, and ``b`` is rarer. Others lead the block of ``a``."""
+    rng, rows = random.Random(seed), []
+    long = [[f"h{rng.randint(0, 10**9)}" for _ in range(12)] for _ in range(tries)]
+    hashed = lambda ws: [s.tolist() for s in jaccard.shingle_sets(pa.array([" ".join(w) for w in ws]), 5)]
+    for w, s in zip(long, hashed(long), strict=True):
+        at = next((k for k in range(3) if s[0] >= jaccard.BAND and set(s[2:]) == set(hashed([w[k : k + 10]])[0])), None) if len(s) == 8 and s[0] >= jaccard.BAND else None
+        if at is None:
+            continue
+        a, b = (next(w[k : k + 5] for k in range(8) if hashed([w[k : k + 5]])[0] == [h]) for h in s[2:4])
+        ends = [[*a, f"e{k}"] for k in range(200)]
+        tail = next((e for e, t in zip(ends, hashed(ends), strict=True) if t[0] == s[2]), None)
+        if tail:
+            rows.append((a, w, w[at : at + 10], b, tail))
+    return rows
+
+
+def test_short_sets_at_the_threshold_are_linked(spark):
+    planted = hidden_links(1)
+    assert len(planted) > 10
+    rows = short_variants(5)
+    rows += [(10000 * (k + 1) + i, " ".join(w)) for k in range(5) for i, w in enumerate(p[k] for p in planted)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(tuple(r) for r in jaccard.groups(docs).collect()) == plain(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert jaccard.groups(docs).count() == 0 and jaccard.keep_one(docs).count() == 0

@@ -311,7 +311,8 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
     of_class = shared.join(members.select("id", "c").distinct(), "id").select("key", "c").distinct()
     of_class = scratch.save(of_class.withColumn("df", F.count(F.lit(1)).over(by_key)).where("df > 1"), "shared")
     by_class = Window.partitionBy("c")
-    order = by_class.orderBy(F.desc("inside"), "df", "key")
+    # One order for all sets: by frequency in the band, beyond it by hash as the shingles are offered.
+    order = by_class.orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("df")), "key")
     alone = F.col("nb") - F.sum(F.col("inside").cast("bigint")).over(by_class)  # shingles of one class come first
     # Beyond the band shingles of one class are not counted, so there the place is the least that it can be.
     place = F.row_number().over(order) + F.greatest(alone, F.lit(0))
