@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tidemark.llm import licenses
 from tidemark.llm.licenses import TEMPLATES, Templates
@@ -50,6 +51,29 @@ def test_matches_hold_three_quarters_and_none_is_missed():
             assert len(whole & set(shingles(words(text)[lo:hi]))) >= licenses.SHARE * len(whole)
 
 
+def test_notices_of_the_given_documents_are_found():
+    notices = {
+        "mit-notice": "Released under the MIT License.", "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+        "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
+    }
+    column = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).combine_chunks()
+    known, seen = Templates(TEMPLATES), set()
+    for text, found in zip(column.to_pylist(), known.matches(column), strict=True):
+        want = {name for name, notice in notices.items() if notice in (text or "")}
+        assert want <= {known.names[t] for _, _, t in found}
+        assert want or not re.search("(?i)licensed under|released under", text or "")  # there are no others
+        seen |= want
+    assert seen == set(notices)
+
+
+def test_common_short_notices_are_told_apart():
+    known = Templates(TEMPLATES)
+    texts = {f"cc-{k}-{v}": f"Licensed under CC {k.upper()} {v}." for k in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd") for v in ("4.0", "3.0")}
+    texts |= {"lgpl-3-notice": "This work is licensed under the GNU Lesser General Public License, version 3.", "cc0-1.0": "Licensed under CC0 1.0."}
+    for name, found in zip(texts, known.matches(pa.array(texts.values())), strict=True):
+        assert {known.names[t] for _, _, t in found} == {name}
+
+
 def test_bands_make_a_miss_unlikely():
     assert 1 - (1 - 0.17) ** licenses.BANDS > 0.9999
 
