@@ -11,6 +11,7 @@ import pytest
 
 import __spark_entry__
 from tidemark import queries
+from tidemark.streaming import windows
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +54,15 @@ def test_stream_windows_are_whole(spark):
     assert got.columns == ["event_type", "start", "n"] and got.where("n < 1").count() == 0
 
 
+def test_drained_stream_drops_neither_open_windows_nor_late_events(spark, tmp_path):
+    days = [datetime.datetime(2024, 1, d, 12) for d in (20, 21, 1, 2, 20)]
+    for day in days:  # a file each, one a micro-batch
+        spark.createDataFrame([(day, "a")], "ts timestamp, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = windows.tumbling(windows.events(spark, f"{tmp_path}/events", 1), "ts", "event_type")
+    got = Counter({r.start: r.n for r in windows.drained(stream, "late", "complete").collect()})
+    assert got == Counter(d.replace(hour=0) for d in days)
+
+
 def test_contract(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 5

@@ -448,9 +448,9 @@ def stream_counts(spark, sf_dir):
     return windows.counted(stream, "stream-counts", ["event_type", "start"])
 
 
-@query(None)
+@query("SELECT event_type, date_trunc('day', ts) AS start, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
-    return windows.drained(windows.tumbling(windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), "stream-tumbling")
+    return windows.drained(windows.tumbling(windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), "stream-tumbling", "complete")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

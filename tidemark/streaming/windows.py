@@ -25,9 +25,23 @@ def sessions(stream: DataFrame, time: str, key: str, gap: str = "1 hour", late:
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now, through a checkpointed parquet sink."""
+    """What the stream gives for all that is there now, through a checkpointed parquet sink.
+
+    In ``append`` mode groups that the watermark has not passed are not given. In ``complete`` mode all are, and
+    no late event is dropped: each micro-batch sets off the whole result by its number, and the last one counts.
+    """
     spark = stream.sparkSession
     root = workspace(spark, label)
+    if mode == "complete":
+        last = []
+
+        def put(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+            last[:] = [number]
+
+        query = stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={last[0]}") if last else spark.createDataFrame([], stream.schema)
     query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
