@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -62,14 +63,19 @@ def marginal_bytes(candidate: str, around: str) -> int:
 def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.7) -> list[tuple[int, int, int]]:
     """Strings near a sensitive word whose marginal size is ``least`` of their length or more.
 
-    What a base span covers isn't looked at again.
+    What base spans cover whole isn't looked at again.
     """
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
         while k < len(taken) and taken[k][2] <= start:
             k += 1
-        if k < len(taken) and taken[k][0] < end:
+        at = start
+        for low, _, high in islice(taken, k, None):
+            if low > at or at >= end:
+                break
+            at = max(at, high)
+        if at >= end:
             continue
         word = m[0]
         if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
