@@ -129,3 +129,53 @@ def test_prefixes_of_alike_sets_meet():
         b = set(rng.sample(sorted(a), max(1, int(len(a) * 0.9)))) | {rng.randint(200, 300) for _ in range(rng.randint(0, 6))}
         if 100 * len(a & b) >= 75 * len(a | b):
             assert set(sorted(a)[: jaccard.probe(len(a))]) & set(sorted(b)[: jaccard.probe(len(b))])
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_ROWS": 40, "CELL_SHINGLES": 900, "SMALL_IDS": 10}])
+def test_near_copies_and_a_common_line_give_few_rows(spark, monkeypatch, limits):
+    """Several hundred near copies of a text, not all alike, beside texts that share a line with them."""
+    for name, value in limits.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng, line = random.Random(7), [f"line{k}" for k in range(9)]
+    base = [f"b{k}" for k in range(40)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 2, 3, 5])):
+            w[rng.randrange(40)] = f"r{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(w + line)))
+    rows += [(500 + i, " ".join(line + [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(0, 12))])) for i in range(400)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    made, seen = {}, {f: getattr(jaccard, f) for f in ("near_sets", "tree_links", "in_cells")}
+
+    def counted(name):
+        def run(rows, *rest):
+            out = seen[name](rows, *rest)
+            made.setdefault(name, []).append((rows.count(), out.count()))
+            return out
+
+        return run
+
+    for name in seen:
+        monkeypatch.setattr(jaccard, name, counted(name))
+    assert Counter(tuple(r) for r in jaccard.groups(docs).collect()) == plain(rows)
+    assert all(out <= given for name in ("near_sets", "tree_links") for given, out in made[name])
+    assert limits or all(out <= given for given, out in made["in_cells"])
+
+
+def test_words_that_a_polynomial_takes_for_one(spark):
+    odd = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = odd.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"w x y z {odd}"), (2, f"w x y z {other}"), (3, f"w x y z {other}")]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]
+
+
+def test_rows_that_repeat_an_id_and_clashing_columns(spark):
+    rows = [(1, "a b c d e", "x", 1), (1, "a b c d e f g", "x", 2), (2, "a b c d e", "x", 3), (3, "A b c d e f g", "x", 4), (1, None, "x", 5), (None, "a b c d e", "x", 6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, id__ string, id int")
+    got = Counter(map(tuple, jaccard.groups(docs).collect()))
+    assert got == Counter([(1, 1, 1), (1, 3, 1), (2, 1, 2), (3, 3, 1), (1, 0, 1), (None, 1, None)])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.id for r in kept.collect()) == [2, 3, 6]

@@ -49,6 +49,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(docs: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    held = {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

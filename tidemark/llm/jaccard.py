@@ -10,20 +10,28 @@
    links found merge components, and a large group of near copies is soon one component, its blocks done.
 4. Where a block still holds several components, their count vectors go into an R-tree: shingles are
    hashed to groups, a set is the point of its group counts, and the summed minima of two points (or of a
-   point and a node's upper corner) bound the overlap. Pairs of different components that the bound
-   leaves are verified on the sets themselves. Nothing is capped, so no link between components is lost.
+   point and a node's upper corner) bound the overlap. A block gives no pairs: it tells which of its sets
+   the bounds connect, a row a set at most. The sets so connected, over all blocks, are a cluster.
+5. A cluster's texts come together once. There the tree gives each set's candidates of other components,
+   which are verified nearest first; the first that links unites two components and settles all other
+   pairs between them, so only uniting links leave a task. A large block or cluster is dealt into cells
+   of bounded weight. Nothing is capped, so no link between components is lost.
+
+Links are verified on hashed shingles and then on the words themselves; equal sets are told by the sums.
 
 The count vectors also bound the pairs of step 3 before any set is fetched. The prefix blocks are what
 lets the tree be distributed: on random texts of some hundred shingles no small tree separates sets
 that share nothing, whereas a block holds only sets with a rare shingle in common.
 
 A null or wordless text has an empty set and is linked with nothing. A row with a null id gets a null
-component. Rows that repeat a text are one class; ids are taken to name one text. An empty table gives
-no rows. Extra columns are not looked at.
+component. Rows that repeat a text are one class. Of rows that repeat an id the longest text (then the
+greatest) stands for the document; each row is told its own number of shingles and the document's
+component. An empty table gives no rows. Extra columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, arrow_schema, slices, spans
+from tidemark.llm.common import WORD, Scratch, arrow_schema, slices, spans, spare
 from tidemark.llm.words import Texts, mix
 
 #: The share of the hash range in which shingles are ordered by frequency; a prefix takes a quarter.
@@ -41,6 +49,10 @@ GROUPS = 128
 FULL = 65_535  # a group's count is this or more
 SMALL_IDS = 1_000_000  # up to so many 64-bit ids may be broadcast
 SLICE = 3 << 20  # bytes of text that are hashed at once
+BLOCK_ROWS = 16_384  # a block with more sets is searched in cells of two such parts
+CELL_SHINGLES = 1 << 20  # and so is a cluster with more shingles
+WORDS = re.compile(WORD)
+LOWER_CASE = {k: k + 32 for k in range(65, 91)}
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -91,14 +103,19 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def offered(docs: DataFrame, size: int) -> DataFrame:
-    """(id, key): the shingles of the band, and further ones where the band holds fewer than a prefix."""
+    """(id, key): the shingles of the band, and further ones where the band holds fewer than a prefix.
+
+    Of equal sets in a slice one offers.
+    """
     arrow = arrow_schema(T._parse_datatype_string("id bigint, key bigint"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 8192, SLICE):
-                sets = [s[: max(int(np.searchsorted(s, BAND)), min(len(s), probe(len(s))))] for s in shingle_sets(part.column(1), size)]
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+                first = {s.tobytes(): (i, s) for i, s in enumerate(shingle_sets(part.column(1), size))}
+                who = [i for i, _ in first.values()]
+                sets = [s[: max(int(np.searchsorted(s, BAND)), min(len(s), probe(len(s))))] for _, s in first.values()]
+                ids = part.column(0).take(pa.array(np.repeat(who, [len(s) for s in sets]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets) if sets else [], pa.int64())], schema=arrow)
 
     return docs.select("id", "text").mapInArrow(run, "id bigint, key bigint")
@@ -201,40 +218,176 @@ class Rows:
             yield x[keep], y[keep]
 
 
-def tree_pairs(blocks: DataFrame, leaf: int = 64) -> DataFrame:
-    """Candidate pairs of different components out of (key, c, n, place, before, comp, vec), block by block."""
+class Forest:
+    """Union-find over numbers; the smallest of a set is its name."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up, top = self.up, x
+        while (above := up.get(top, top)) != top:
+            top = above
+        while x != top:
+            up[x], x = top, up.get(x, x)
+        return top
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def in_cells(rows: DataFrame, group: str, weight: str, most: int) -> DataFrame:
+    """(id, text, ...) rows with the ``cell`` of their group in which they are compared, one row a cell.
+
+    A group whose weight is bounded is one cell. Of a larger one the largest component is dealt into parts,
+    and so are all others together; a part of the one meets a part of the others in a cell, and the others'
+    parts meet each other. The largest component need not meet itself, so where it is most of the group, its
+    rows are sent once. No cell is heavier than two parts, however large the group is.
+    """
+    by_comp = rows.groupBy(group, "comp").agg(F.sum(weight).alias("w"))
+    whole = by_comp.groupBy(group).agg(F.max(F.struct("w", "comp")).alias("top"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("comps"))
+    parts = whole.where("comps > 1").select(group, F.col("top.comp").alias("main"), F.expr(f"top.w div {most} + 1 s"), F.expr(f"(w - top.w) div {most} + 1 t"))
+    own = F.expr("transform(sequence(0L, t - 1), j -> pmod(xxhash64(c), s) * t + j)")
+    others = F.expr(
+        "if(t = 1, sequence(0L, s - 1), concat(transform(sequence(0L, s - 1), i -> i * t + pmod(xxhash64(c), t)),"
+        " transform(sequence(0L, t - 1), q -> s * t + least(q, pmod(xxhash64(c), t)) * t + greatest(q, pmod(xxhash64(c), t)))))"
+    )
+    return rows.join(parts, group).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), own).otherwise(others))).drop("main", "s", "t")
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that hold whole cells, out of rows that are sorted by their first two columns."""
+    held: list[pa.RecordBatch] = []  # the last cell, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, cell = (batch.column(k).to_numpy() for k in (0, 1))
+        change = np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1
+        goes_on = bool(held) and (key[0], cell[0]) == (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py())
+        if held and not goes_on:
+            yield pa.concat_batches(held)
+            held = []
+        if len(change):
+            yield pa.concat_batches([*held, batch.slice(0, int(change[-1]))])
+            held = []
+        held.append(batch.slice(int(change[-1]) if len(change) else 0))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def starts_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Where the cells of a batch begin, and their numbers of rows."""
+    key, cell = (batch.column(k).to_numpy() for k in (0, 1))
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])]))
+    return start, np.diff(np.append(start, len(key)))
+
+
+def dealt(rows: DataFrame, group: str, *columns: str) -> DataFrame:
+    return rows.select(group, "cell", *columns).repartition(F.col(group), F.col("cell")).sortWithinPartitions(group, "cell")
 
-    def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
-        key = batch.column(0).to_numpy()
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(start, len(key)))
-        rows, found = Rows(batch), []
+
+def near_sets(blocks: DataFrame, leaf: int = 64) -> DataFrame:
+    """(c, near): the sets that the bounds cannot tell apart from one of another component in their block.
+
+    Sets that such pairs connect inside a block have one ``near``, the least of them, so a row of a block
+    gives a row at most, however many pairs there are.
+    """
+
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        start, size = starts_of(batch)
+        rows = Rows(batch)
+        up = np.arange(len(rows.c))  # the first row that it is connected with, as far as known
         few = size <= leaf
-        found += rows.small(start[few], size[few])
-        for s, k in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
-            found += rows.large(s, k)
-        x, y = (np.concatenate([np.empty(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
-        both = np.unique(np.column_stack([np.minimum(rows.c[x], rows.c[y]), np.maximum(rows.c[x], rows.c[y])]), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        def pairs():
+            yield from rows.small(start[few], size[few])
+            for s, k in zip(start[~few].tolist(), size[~few].tolist(), strict=True):
+                yield from rows.large(s, k)
+
+        for x, y in pairs():
+            while len(x):
+                # The higher of two names is hung under the lower one, until all pairs agree.
+                a, b = up[x], up[y]
+                differ = a != b
+                x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+                np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+                while True:
+                    above = up[up]
+                    if (above == up).all():
+                        break
+                    up = above
+        used = np.flatnonzero(np.bincount(up, minlength=len(up))[up] > 1)
+        both = np.unique(np.column_stack([rows.c[used], rows.c[up[used]]]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["c", "near"])
+
+    return dealt(blocks, "key", "c", "n", "place", "before", "comp", "vec").mapInArrow(lambda batches: map(near, whole_cells(batches)), "c bigint, near bigint").distinct()
+
+
+def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Common shingles of a set with each of some others (none is empty)."""
+    flat = np.concatenate(others)
+    hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def spelt(text: str | None, size: int) -> set:
+    """A text's shingles as words, for the last look at a pair."""
+    words = WORDS.findall(str.translate(text or "", LOWER_CASE))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
+
+
+def alike(s: set, t: set) -> bool:
+    return 7 * len(s & t) >= 3 * (len(s) + len(t)) > 0
+
+
+def tree_links(members: DataFrame, size: int, leaf: int = 64) -> DataFrame:
+    """(a, b): links that unite components, out of (cluster, cell, c, n, comp, vec, text), each cell by a tree.
+
+    Pairs are verified where they lie: the nearest by the bound first, until one links, which unites two
+    components and settles all pairs between them. So a set gives as many links as components it unites.
+    """
+
+    def links(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        for at, n_rows in zip(*(v.tolist() for v in starts_of(batch)), strict=True):
+            part = batch.slice(at, n_rows)
+            text = part.column(part.schema.get_field_index("text"))
+            sets = [s for piece in slices(part.select(["c", "text"]), 8192, SLICE) for s in shingle_sets(piece.column(1), size)]
+            c, n, comp = (part.column(k).to_numpy() for k in ("c", "n", "comp"))
+            points = vectors(part.column(part.schema.get_field_index("vec")))
+            names, held = np.unique(comp, return_counts=True)
+            tree = CountTree(points, n) if n_rows > leaf else None
+            forest, words = Forest(), {}
+            now = comp.copy()  # each row's component by now
+            for q in np.flatnonzero(comp != names[held.argmax()]).tolist():
+                y = tree.search(q) if tree else np.flatnonzero(4 * np.minimum(n, n[q]) >= 3 * np.maximum(n, n[q]))
+                y = y[now[y] != now[q]]
+                bound = np.minimum(points[y], points[q]).sum(1)
+                slack = bound - need(n[y], n[q])
+                y = y[slack >= 0][np.argsort(-slack[slack >= 0], kind="stable")]
+                take = 1
+                while len(y):
+                    some, y, take = y[:take], y[take:], min(256, 4 * take)
+                    common = overlaps(sets[q], [sets[i] for i in some.tolist()])
+                    for i in some[7 * common >= 3 * (n[q] + n[some])].tolist():
+                        if now[i] == now[q]:
+                            continue
+                        if q not in words:
+                            words = {q: spelt(text[q].as_py(), size)}
+                        if alike(words[q], spelt(text[i].as_py(), size)):
+                            forest.unite(int(now[i]), int(now[q]))
+                            now[now == max(now[i], now[q])] = min(now[i], now[q])
+                            yield int(c[q]), int(c[i])
+                    y = y[now[y] != now[q]]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []  # the last block, which may go on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column(0).to_numpy()
-            last = int(np.searchsorted(key, key[-1]))
-            if held and key[0] == held[0].column(0)[0].as_py() and last == 0:
-                held.append(batch)
-                continue
-            whole = [*held, batch.slice(0, last)]
-            yield pairs(pa.concat_batches(whole) if len(whole) > 1 else whole[0]) if sum(map(len, whole)) else pa.RecordBatch.from_pydict({"a": [], "b": []}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-            held = [batch.slice(last)]
-        if held:
-            yield pairs(pa.concat_batches(held))
-
-    sorted_ = blocks.select("key", "c", "n", "place", "before", "comp", "vec").repartition(F.col("key")).sortWithinPartitions("key")
-    return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
+        for batch in whole_cells(batches):
+            found = list(links(batch))
+            yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], names=["a", "b"])
+
+    return dealt(members, "cluster", "c", "n", "comp", "vec", "text").mapInArrow(run, "a bigint, b bigint")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -252,28 +405,30 @@ def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose sets, built again from the texts, have a Jaccard similarity of 3/4 or more."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     few = ids.count() <= SMALL_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
+
 
-    raw = scratch.save(_mapped(texts, "id bigint, s binary", lambda i, s: (i, s.tobytes()), size), f"sets-{name}", "none")
-    sets = raw.groupBy("id").agg(F.first("s").alias("s"))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
+def verified(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs whose texts have a Jaccard similarity of 3/4 or more: by hashed shingles, then by the words."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = scratch.save(texts_of(docs, ids), f"texts-{name}")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
-        for x in batches:
-            ok = []
-            for sa, sb in zip(x.column(2), x.column(3), strict=True):
-                s, t = (np.frombuffer(v.as_buffer(), np.int64) for v in (sa, sb))
-                at = np.searchsorted(t, s)
-                both = int((t[np.minimum(at, len(t) - 1)] == s).sum()) if len(s) and len(t) else 0
-                ok.append(7 * both >= 3 * (len(s) + len(t)))
-            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = scratch.save(both.mapInArrow(run, "a bigint, b bigint"), f"links-{name}")
-    scratch.drop(f"sets-{name}")
+        for batch in batches:
+            for x in slices(batch, 2048, SLICE, 2):
+                ok, told = [], {}
+                for a, b, s, t, ta, tb in zip(x.column(0), x.column(1), shingle_sets(x.column(2), size), shingle_sets(x.column(3), size), x.column(2), x.column(3), strict=True):
+                    if ok_ := bool(7 * overlaps(s, [t])[0] >= 3 * (len(s) + len(t))):
+                        told = {i.as_py(): told.get(i.as_py()) or spelt(w.as_py(), size) for i, w in ((a, ta), (b, tb))}
+                        ok_ = alike(told[a.as_py()], told[b.as_py()])
+                    ok.append(ok_)
+                yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    out = scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), f"links-{name}")
+    scratch.drop(f"texts-{name}")
     return out
 
 
@@ -296,19 +451,30 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
+def one_text_an_id(rows: DataFrame) -> DataFrame:
+    """(id, text) with every id once: of rows that repeat it, the longest text and of those the greatest."""
+    twice = rows.groupBy("id").count().where("count > 1").select("id")
+    if twice.isEmpty():
+        return rows
+    chosen = rows.join(twice, "id", "left_semi").groupBy("id").agg(F.max(F.struct(F.length("text").alias("k"), "text")).alias("x"))
+    return rows.join(twice, "id", "left_anti").unionByName(chosen.select("id", F.col("x.text").alias("text")))
+
+
 def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id, the size of its set and the smallest id of its component."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    known = rows.where("id is not null")
+    given = rows.where("id is not null")
+    known = one_text_an_id(given)
     signed = scratch.save(signatures(rows, size), "signatures")
-    live = signed.where("id is not null and n > 0")
+    own = signed if known is given else scratch.save(signatures(known, size), "own-signatures")
+    live = own.where("id is not null and n > 0")
     classes = scratch.save(live.groupBy("h1", "h2").agg(F.min("id").alias("c"), F.first("n").alias("n"), F.first("nb").alias("nb"), F.first("vec").alias("vec")), "classes")
-    members = scratch.save(live.select("id", "h1", "h2").join(classes.select("h1", "h2", "c"), ["h1", "h2"]).distinct(), "members")
+    members = scratch.save(live.select("id", "h1", "h2").join(classes.select("h1", "h2", "c"), ["h1", "h2"]).select("id", "c"), "members")
 
     by_key = Window.partitionBy("key")
     shared = offered(known, size).withColumn("x", F.min("id").over(by_key)).withColumn("y", F.max("id").over(by_key)).where("x != y").select("key", "id")
-    of_class = shared.join(members.select("id", "c").distinct(), "id").select("key", "c").distinct()
+    of_class = shared.join(members, "id").select("key", "c").distinct()
     of_class = scratch.save(of_class.withColumn("df", F.count(F.lit(1)).over(by_key)).where("df > 1"), "shared")
     by_class = Window.partitionBy("c")
     # One order for all sets: by frequency in the band, beyond it by hash as the shingles are offered.
@@ -337,33 +503,41 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
             # Of the leads of its blocks, a set is compared with the one that it meets most often.
             met = open_.join(mixed, "key").where("c != lead.c and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("c", F.col("lead.c").alias("lead")).count()
             most = met.groupBy("c").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-            pairs = bounded(most.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), classes)
+            pairs = scratch.save(bounded(most.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), classes), f"pairs-{name}")
+            new = verified(pairs, known, size, scratch, name)
+            scratch.drop(f"pairs-{name}")
         else:
-            pairs = tree_pairs(open_.join(mixed, "key").join(classes.select("c", "vec"), "c"))
-        pairs = scratch.save(pairs, f"pairs-{name}")
-        new = verified(pairs, known, size, scratch, name)
-        scratch.drop(f"pairs-{name}")
+            blocks = scratch.save(open_.join(mixed, "key"), "blocks")
+            near = scratch.save(near_sets(in_cells(blocks.withColumn("one", F.lit(1)), "key", "one", BLOCK_ROWS).join(classes.select("c", "vec"), "c")), "near")
+            scratch.drop("blocks")
+            cluster = components(near.select(F.col("c").alias("a"), F.col("near").alias("b")), scratch, "near").withColumnRenamed("comp", "cluster")
+            cluster = cluster.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(classes.select("c", "n", "vec"), "c")
+            cells = in_cells(cluster, "cluster", "n", CELL_SHINGLES)
+            texts = texts_of(known, cluster.select(F.col("c").alias("id"))).withColumnRenamed("id", "c")
+            new = scratch.save(tree_links(cells.join(texts, "c"), size), "links-tree")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         comp = components(links, scratch, name)
-    out = signed.select("id", "h1", "h2", "n").join(members, ["id", "h1", "h2"], "left").join(comp, "c", "left")
+    out = signed.select("id", "n").join(members, "id", "left").join(comp, "c", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "c", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each component the one with the smallest id stays.
 
-    Rows with a null id stay; of rows that repeat the same id one stays.
+    Rows with a null id stay; of rows that repeat the same id one with the longest text (then the greatest) stays.
     """
     scratch = Scratch(docs.sparkSession, "keep-one")
-    grouped = scratch.save(groups(docs, size, id_col, text_col).select(F.col(id_col).alias("id__"), "component_id").where("id__ is not null"), "groups")
-    gone = grouped.where("component_id != id__").select("id__").distinct()
+    name = spare(docs, "id")
+    grouped = scratch.save(groups(docs, size, id_col, text_col).select(F.col(id_col).alias(name), "component_id").where(F.col(name).isNotNull()), "groups")
+    gone = grouped.where(F.col("component_id") != F.col(name)).select(name).distinct()
     few = gone.count() <= SMALL_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col(id_col).cast("bigint") == F.col("id__"), "left_anti")
-    twice = grouped.groupBy("id__").count().where("count > 1").select("id__")
+    own = F.col(id_col).cast("bigint") == F.col(name)
+    left = docs.join(F.broadcast(gone) if few else gone, own, "left_anti")
+    twice = grouped.groupBy(name).count().where("count > 1").select(name)
     if twice.isEmpty():
         return left
-    again = F.col(id_col).cast("bigint") == F.col("id__")
-    once = left.join(twice, again, "left_semi").dropDuplicates([id_col])
-    return left.join(twice, again, "left_anti").unionByName(once)
+    again = left.join(twice, own, "left_semi").groupBy(F.col(id_col).cast("bigint").alias(name))
+    once = again.agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.length(text_col), text_col)).alias("row"))
+    return left.join(twice, own, "left_anti").unionByName(once.select("row.*"))
