@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import arrow_schema, per_text
+from tidemark.llm.common import arrow_schema, lean, per_text, resolved
 
 #: The words of the vocabulary's cutter, over lower-cased Latin text (all below U+0250).
 LATIN = re.compile(
@@ -313,12 +314,12 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str | Callable[[], str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document its number of ids, the SHA-256 of the ids and that of the decoded text."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     def make():
-        bpe = loaded(path)
+        bpe = loaded(resolved(path))
 
         def work(texts: list[str]) -> dict[str, list]:
             both = bpe.encode_all(texts)
@@ -331,4 +332,4 @@ def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return work
 
     arrow: pa.Schema = arrow_schema(T._parse_datatype_string(schema))
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(per_text(make, arrow), schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(per_text(make, arrow)), schema)

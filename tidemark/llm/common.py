@@ -6,6 +6,7 @@ executors), so a lost executor costs a re-read and never a lost result.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,6 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow``, after which the worker, which serves later tasks too, gives free memory back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return wrapped
+
+
 class Scratch:
     """Parquet tables in the shared checkpoint folder; ``drop`` frees one as soon as it is spent."""
 
@@ -31,6 +48,8 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:  # only in local sessions such as tests: a cluster names its folder
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="tidemark-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -91,6 +110,11 @@ def per_text(
     return run
 
 
+def resolved(path: str | Callable[[], str]) -> str:
+    """The path of a vocabulary file; a function is asked where it is called, so each worker finds its own copy."""
+    return path() if callable(path) else path
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

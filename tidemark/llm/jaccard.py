@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import WORD, Scratch, arrow_schema, slices, spans, spare
+from tidemark.llm.common import WORD, Scratch, arrow_schema, lean, slices, spans, spare
 from tidemark.llm.words import Texts, mix
 
 #: The share of the hash range in which shingles are ordered by frequency; a prefix takes a quarter.
@@ -87,38 +87,41 @@ def _mapped(docs: DataFrame, schema: str, of_set, size: int) -> DataFrame:
                 rows = [of_set(i, s) for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), size), strict=True)]
                 yield from (pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow) for cols in [list(zip(*rows, strict=True))] if cols)
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(lean(run), schema)
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """Of each document its set's size, sum hashes and group counts, and how many shingles are in the band."""
 
     def of_set(i, s):
-        u = s.view(np.uint64)
-        h1, h2 = (int(np.sum(mix(u ^ np.uint64(k)), dtype=np.uint64).view(np.int64)) for k in (0x51ED27, 0xC0FFEE11))
+        h1, h2 = sums(s)
         counts = np.minimum(np.bincount(s & (GROUPS - 1), minlength=GROUPS), FULL).astype("<u2").tobytes()
         return i, len(s), int(np.searchsorted(s, BAND)), h1, h2, counts
 
     return _mapped(docs, "id bigint, n bigint, nb bigint, h1 bigint, h2 bigint, vec binary", of_set, size)
 
 
-def offered(docs: DataFrame, size: int) -> DataFrame:
-    """(id, key): the shingles of the band, and further ones where the band holds fewer than a prefix.
+def sums(s: np.ndarray) -> tuple[int, int]:
+    """Two sums over a set by which equal sets are told."""
+    u = s.view(np.uint64)
+    return tuple(int(np.sum(mix(u ^ np.uint64(k)), dtype=np.uint64).view(np.int64)) for k in (0x51ED27, 0xC0FFEE11))
+
 
-    Of equal sets in a slice one offers.
+def offered(docs: DataFrame, size: int) -> DataFrame:
+    """(key, h1): of the set with this sum the shingles of the band, and further ones where the band holds
+    fewer than a prefix. Of equal sets in a slice one offers.
     """
-    arrow = arrow_schema(T._parse_datatype_string("id bigint, key bigint"))
+    arrow = arrow_schema(T._parse_datatype_string("key bigint, h1 bigint"))
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 8192, SLICE):
-                first = {s.tobytes(): (i, s) for i, s in enumerate(shingle_sets(part.column(1), size))}
-                who = [i for i, _ in first.values()]
-                sets = [s[: max(int(np.searchsorted(s, BAND)), min(len(s), probe(len(s))))] for _, s in first.values()]
-                ids = part.column(0).take(pa.array(np.repeat(who, [len(s) for s in sets]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sets) if sets else [], pa.int64())], schema=arrow)
+                first = {s.tobytes(): s for s in shingle_sets(part.column(1), size) if len(s)}.values()
+                sets = [s[: max(int(np.searchsorted(s, BAND)), probe(len(s)))] for s in first]
+                own = np.repeat(np.array([sums(s)[0] for s in first], np.int64), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else [], pa.int64()), pa.array(own)], schema=arrow)
 
-    return docs.select("id", "text").mapInArrow(run, "id bigint, key bigint")
+    return docs.select("id", "text").mapInArrow(lean(run), "key bigint, h1 bigint")
 
 
 def need(a, b):
@@ -323,7 +326,7 @@ def near_sets(blocks: DataFrame, leaf: int = 64) -> DataFrame:
         both = np.unique(np.column_stack([rows.c[used], rows.c[up[used]]]), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["c", "near"])
 
-    return dealt(blocks, "key", "c", "n", "place", "before", "comp", "vec").mapInArrow(lambda batches: map(near, whole_cells(batches)), "c bigint, near bigint").distinct()
+    return dealt(blocks, "key", "c", "n", "place", "before", "comp", "vec").mapInArrow(lean(lambda batches: map(near, whole_cells(batches))), "c bigint, near bigint").distinct()
 
 
 def overlaps(s: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -387,49 +390,50 @@ def tree_links(members: DataFrame, size: int, leaf: int = 64) -> DataFrame:
             found = list(links(batch))
             yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in found], pa.int64()) for f in (min, max)], names=["a", "b"])
 
-    return dealt(members, "cluster", "c", "n", "comp", "vec", "text").mapInArrow(run, "a bigint, b bigint")
+    return dealt(members, "cluster", "c", "n", "comp", "vec", "text").mapInArrow(lean(run), "a bigint, b bigint")
+
+
+def some(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is among these distinct ids, which are broadcast if they are counted and few."""
+    return rows.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, column, "left_semi")
 
 
 def bounded(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that sizes and summed minima of the count vectors allow."""
-    a = classes.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    b = classes.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    both = pairs.join(a, "a").join(b, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b", "na", "nb", "va", "vb")
+    """The (c, lead) that sizes and summed minima of the count vectors allow."""
+    ids = pairs.select("c").union(pairs.select("lead")).distinct()
+    own = some(classes.select("c", "n", "vec"), ids, "c")
+    lead = own.select(F.col("c").alias("lead"), F.col("n").alias("lead_n"), F.col("vec").alias("lead_vec"))
+    both = pairs.join(own, "c").join(lead, "lead").where("4 * least(n, lead_n) >= 3 * greatest(n, lead_n)").select("c", "lead", "n", "lead_n", "vec", "lead_vec")
 
     def run(batches):
         for x in batches:
-            va, vb = vectors(x.column(4)), vectors(x.column(5))
-            fits = np.minimum(va, vb).sum(1) >= need(x.column(2).to_numpy(), x.column(3).to_numpy())
-            yield x.select(["a", "b"]).filter(pa.array(fits))
+            fits = np.minimum(vectors(x.column(4)), vectors(x.column(5))).sum(1) >= need(x.column(2).to_numpy(), x.column(3).to_numpy())
+            yield x.select(["c", "lead"]).filter(pa.array(fits))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(lean(run), "c bigint, lead bigint")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    few = ids.count() <= SMALL_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "text")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs whose texts have a Jaccard similarity of 3/4 or more: by hashed shingles, then by the words."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = scratch.save(texts_of(docs, ids), f"texts-{name}")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Links (a, b) out of (c, lead), a row a ``c``: by hashed shingles, then by the words."""
+    few = pairs.count() <= SMALL_IDS
+    own = docs.join((F.broadcast(pairs) if few else pairs).withColumnRenamed("c", "id"), "id").select("id", "lead", "text")
+    lead = some(docs, pairs.select(F.col("lead").alias("id")).distinct(), "id").select(F.col("id").alias("lead"), F.col("text").alias("lead_text"))
 
     def run(batches):
         for batch in batches:
             for x in slices(batch, 2048, SLICE, 2):
-                ok, told = [], {}
-                for a, b, s, t, ta, tb in zip(x.column(0), x.column(1), shingle_sets(x.column(2), size), shingle_sets(x.column(3), size), x.column(2), x.column(3), strict=True):
-                    if ok_ := bool(7 * overlaps(s, [t])[0] >= 3 * (len(s) + len(t))):
-                        told = {i.as_py(): told.get(i.as_py()) or spelt(w.as_py(), size) for i, w in ((a, ta), (b, tb))}
-                        ok_ = alike(told[a.as_py()], told[b.as_py()])
-                    ok.append(ok_)
-                yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    out = scratch.save(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), f"links-{name}")
-    scratch.drop(f"texts-{name}")
-    return out
+                a, b, told = x.column(0).to_pylist(), x.column(1).to_pylist(), (None, set())
+                for k, (s, t) in enumerate(zip(shingle_sets(x.column(2), size), shingle_sets(x.column(3), size), strict=True)):
+                    if 7 * overlaps(s, [t])[0] >= 3 * (len(s) + len(t)):
+                        if told[0] != b[k]:
+                            told = b[k], spelt(x.column(3)[k].as_py(), size)
+                        if alike(spelt(x.column(2)[k].as_py(), size), told[1]):
+                            continue
+                    a[k] = None
+                links = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield links.filter(links.column(0).is_valid())
+
+    return own.join(lead, "lead").select("id", "lead", "text", "lead_text").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -473,21 +477,23 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
     members = scratch.save(live.select("id", "h1", "h2").join(classes.select("h1", "h2", "c"), ["h1", "h2"]).select("id", "c"), "members")
 
     by_key = Window.partitionBy("key")
-    shared = offered(known, size).withColumn("x", F.min("id").over(by_key)).withColumn("y", F.max("id").over(by_key)).where("x != y").select("key", "id")
-    of_class = shared.join(members, "id").select("key", "c").distinct()
-    of_class = scratch.save(of_class.withColumn("df", F.count(F.lit(1)).over(by_key)).where("df > 1"), "shared")
-    by_class = Window.partitionBy("c")
+    shared = offered(known, size).withColumn("x", F.min("h1").over(by_key)).withColumn("y", F.max("h1").over(by_key)).where("x != y").select("key", "h1")
+    shared = scratch.save(shared.distinct().withColumn("df", F.count(F.lit(1)).over(by_key)), "shared")
+    # Different sets with the same first sum would get each other's shingles too: they keep all, in no order.
+    twins = classes.groupBy("h1").count().where("count > 1").select("h1", F.lit(True).alias("twin"))
+    by_class = Window.partitionBy("h1", "c")
     # One order for all sets: by frequency in the band, beyond it by hash as the shingles are offered.
     order = by_class.orderBy(F.desc("inside"), F.when(F.col("inside"), F.col("df")), "key")
     alone = F.col("nb") - F.sum(F.col("inside").cast("bigint")).over(by_class)  # shingles of one class come first
     # Beyond the band shingles of one class are not counted, so there the place is the least that it can be.
     place = F.row_number().over(order) + F.greatest(alone, F.lit(0))
     front = (
-        of_class.join(classes.select("c", "n", "nb"), "c")
+        shared.join(classes.select("h1", "c", "n", "nb"), "h1")
+        .join(twins, "h1", "left")
         .withColumn("inside", F.col("key") < BAND)
-        .withColumn("place", place)
+        .withColumn("place", F.when(F.col("twin"), 1).otherwise(place))
         .where("not inside or place <= n - (3 * n + 3) div 4 + 1")
-        .withColumn("before", F.coalesce(F.lag("key").over(order), F.lit(-1)))
+        .withColumn("before", F.when(F.col("twin"), -1).otherwise(F.coalesce(F.lag("key").over(order), F.lit(-1))))
         .select("key", "c", "n", "place", "before")
     )
     front = scratch.save(front, "front")
@@ -503,18 +509,20 @@ def groups(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str
             # Of the leads of its blocks, a set is compared with the one that it meets most often.
             met = open_.join(mixed, "key").where("c != lead.c and 4 * least(n, lead.n) >= 3 * greatest(n, lead.n)").groupBy("c", F.col("lead.c").alias("lead")).count()
             most = met.groupBy("c").agg(F.max_by("lead", F.struct("count", -F.col("lead"))).alias("lead"))
-            pairs = scratch.save(bounded(most.select(F.least("c", "lead").alias("a"), F.greatest("c", "lead").alias("b")).distinct(), classes), f"pairs-{name}")
-            new = verified(pairs, known, size, scratch, name)
+            met = scratch.save(most, f"met-{name}")
+            pairs = scratch.save(bounded(met, classes), f"pairs-{name}")
+            new = scratch.save(verified(pairs, known, size), f"links-{name}")
+            scratch.drop(f"met-{name}")
             scratch.drop(f"pairs-{name}")
         else:
             blocks = scratch.save(open_.join(mixed, "key"), "blocks")
             near = scratch.save(near_sets(in_cells(blocks.withColumn("one", F.lit(1)), "key", "one", BLOCK_ROWS).join(classes.select("c", "vec"), "c")), "near")
             scratch.drop("blocks")
             cluster = components(near.select(F.col("c").alias("a"), F.col("near").alias("b")), scratch, "near").withColumnRenamed("comp", "cluster")
-            cluster = cluster.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(classes.select("c", "n", "vec"), "c")
-            cells = in_cells(cluster, "cluster", "n", CELL_SHINGLES)
-            texts = texts_of(known, cluster.select(F.col("c").alias("id"))).withColumnRenamed("id", "c")
-            new = scratch.save(tree_links(cells.join(texts, "c"), size), "links-tree")
+            ids = cluster.select("c")
+            cluster = cluster.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).join(some(classes.select("c", "n", "vec"), ids, "c"), "c")
+            texts = some(known.select(F.col("id").alias("c"), "text"), ids, "c")
+            new = scratch.save(tree_links(in_cells(cluster, "cluster", "n", CELL_SHINGLES).join(texts, "c"), size), "links-tree")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)

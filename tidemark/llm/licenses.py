@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, slices
+from tidemark.llm.common import arrow_schema, lean, slices
 from tidemark.llm.words import SIGNS, Texts, mix
 
 #: Notices of licenses, as they are commonly published.
@@ -143,4 +143,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 cols = [part.column(0).cast(arrow.field(0).type), pa.array([len(m) for m in found], pa.int64()), pa.array(told, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)

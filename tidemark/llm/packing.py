@@ -24,6 +24,7 @@ import json
 import zlib
 from array import array
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bpe import byte_letters
-from tidemark.llm.common import Scratch, arrow_schema, slices
+from tidemark.llm.common import Scratch, arrow_schema, lean, resolved, slices
 
 #: Fixed value: the word cutter of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -66,14 +67,14 @@ def byte_ids(path: str) -> ByteIds:
     return ByteIds(path)
 
 
-def pieces_of(docs: DataFrame, path: str, capacity: int, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str | Callable[[], str], capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Per piece its place in the document, length and CRC-32; with the task and its rank there by length."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint"
     arrow = arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
-        ids_of, seen = byte_ids(path), np.zeros(capacity + 1, np.int64)
+        ids_of, seen = byte_ids(resolved(path)), np.zeros(capacity + 1, np.int64)
         task = TaskContext.get().partitionId()
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
@@ -96,7 +97,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, id_col: str, text_col:
                 cols = [ids, piece, start, length, crc, [task] * len(row), nth]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 4000) -> list[tuple[float, dict[int, int]]]:
@@ -179,14 +180,24 @@ class Rooms:
 
 
 def plan(histogram: dict[int, int], capacity: int, groups: int = 128, small: int | None = None) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """How to pack so many pieces of each length: (times, ((length, how often in a sequence), ...))."""
-    small = 7 * capacity // 16 if small is None else small
+    """How to pack so many pieces of each length: (times, ((length, how often in a sequence), ...)).
+
+    Linear grouping is tried with several borders between large and small lengths, the border at the capacity
+    (all lengths are small, so plain best fit) among them, and the plan of the fewest sequences is taken.
+    """
+    borders = (7 * capacity // 16, capacity // 2, capacity) if small is None else (small,)
+    plans = [grouped_plan(histogram, capacity, groups, border) for border in borders]
+    return min(plans, key=lambda p: sum(times for times, _ in p))
+
+
+def grouped_plan(histogram: dict[int, int], capacity: int, groups: int, small: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """The plan for which lengths over ``small`` are grouped and optimised as configurations."""
     rooms = Rooms(capacity)
     large = sorted(((s, n) for s, n in histogram.items() if small < s < capacity), reverse=True)
     total = sum(n for _, n in large)
     if histogram.get(capacity):
         rooms.add(0, histogram[capacity], ((capacity, 1),))
-    left: Counter = Counter({s: n for s, n in histogram.items() if s <= small})
+    left: Counter = Counter({s: n for s, n in histogram.items() if s <= small and s < capacity})
     if total:
         each = -(-total // groups)
         stock: dict[int, list[list[int]]] = {}  # by rounded length: actual lengths and their numbers
@@ -262,7 +273,7 @@ class Places:
         return sequence, offset
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, groups: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | Callable[[], str], capacity: int = 2048, groups: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -284,4 +295,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, groups: int = 128, id
             sequence, offset = places.value.of(b.column(3).to_numpy(), b.column(5).to_numpy())
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], schema=arrow)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)

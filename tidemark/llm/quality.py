@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, per_text, slices
+from tidemark.llm.common import arrow_schema, lean, per_text, slices
 from tidemark.llm.toxicity import fold, training_rows
 
 HASHED = 2048
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "qu
                 cols = [part.column(0).cast(pa.int64()), part.column(2), pa.array([c for c, _ in both], arrow.field(2).type), pa.array([v.astype(np.float32) for _, v in both], arrow.field(3).type)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    got = rows.mapInArrow(run, "id bigint, y int, cols array<int>, vals array<float>").toArrow().sort_by("id")
+    got = rows.mapInArrow(lean(run), "id bigint, y int, cols array<int>, vals array<float>").toArrow().sort_by("id")
     y = got["y"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:
         return Model(None, float(y.mean()) if len(y) else 0.0)
@@ -153,5 +153,5 @@ def scored(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, th
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, score double"
     arrow = arrow_schema(T._parse_datatype_string(schema))
-    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(per_text(lambda: lambda texts: {"score": told.value.scores(texts)}, arrow), schema)
+    rows = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(per_text(lambda: lambda texts: {"score": told.value.scores(texts)}, arrow)), schema)
     return rows.select(id_col, F.coalesce(out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

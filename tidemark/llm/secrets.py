@@ -17,12 +17,13 @@ import hashlib
 import re
 from itertools import islice
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, per_text
+from tidemark.llm.common import arrow_schema, lean, per_text, slices
 
 #: The base patterns, with the least length of what they must find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -112,7 +113,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return work
 
     arrow = arrow_schema(T._parse_datatype_string(schema))
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(per_text(make, arrow), schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(per_text(make, arrow)), schema)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -131,12 +132,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         return "".join([*out, text[done:]]) if out else text
 
     def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for start in range(0, b.num_rows, 1024):
-                part = b.slice(start, 1024)
+        for batch in batches:
+            for part in slices(batch, 1024, 4 << 20, at):
                 text = pa.array([hidden(t) for t in part.column(at).to_pylist()], arrow.field(at).type)
                 yield pa.RecordBatch.from_arrays([text if i == at else c for i, c in enumerate(part.columns)], schema=arrow)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, arrow_schema, slices
+from tidemark.llm.common import Scratch, arrow_schema, lean, slices
 from tidemark.llm.words import Texts, least, mix
 
 GRAM = 5
@@ -89,7 +89,7 @@ def units(docs: DataFrame, window: int) -> DataFrame:
                 cols = [key, mh.view(np.int64), uh.view(np.int64), ids, th, place, count, again]
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.select("id", "text", "th").where("id is not null").mapInArrow(run, UNIT)
+    return docs.select("id", "text", "th").where("id is not null").mapInArrow(lean(run), UNIT)
 
 
 class FingerprintIndex:
@@ -172,7 +172,7 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
                 cols = [long[at].view(np.int64), half[at].view(np.int64), part.column(0).to_numpy()[owner], part.column(2).to_numpy()[owner], start]
                 yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def repeated_spans(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
@@ -230,7 +230,7 @@ def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 2, id_col: st
                     digest.append(hashlib.sha256(_joined(texts, data, i, keep)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts.words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest)], schema=arrow)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(lean(run), schema)
 
 
 def dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,4 +256,4 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "do
                         out[i] = _joined(texts, data, i, _kept(texts, i, found)).decode("utf-8", "replace")
                 yield pa.RecordBatch.from_arrays([pa.array(out, arrow.field(at).type) if i == at else c for i, c in enumerate(part.columns[:-1])], schema=arrow)
 
-    return both.mapInArrow(run, docs.schema)
+    return both.mapInArrow(lean(run), docs.schema)

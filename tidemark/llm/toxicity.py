@@ -5,10 +5,12 @@ often than others, in three tiers of strength. Features are the tiers' densities
 such words stand near a word for the second person, capitals, exclamation marks, punctuation, and
 disguised words (letters replaced by digits or signs, also looked up with the disguise undone).
 
-Labels come from a bounded sample of the training fold (``sample_rows``, chosen by a hash of the id): one
-half for the lexicon, the next for the trees, the rest for the calibration; below 2,000 rows all use all
-of it, the calibration by fives. An entry must be more than chance among so many would give. Texts are never sent to the driver, only lexicon entries and feature rows are. Every whole
-text is scored. Without a sample of both labels all scores are the share of toxic ones, 0 if there are none.
+Labels come from a bounded sample of the training fold (``sample_rows``, chosen by a hash of the id). The
+lexicon and the trees are learned from all of it; the calibration is of scores by trees that have not seen
+their rows, by fives. An entry must be more than chance among so many would give; the lexicon has all such
+entries and is bounded by the sample alone. Texts are never sent to the driver, only lexicon entries and
+feature rows are. Every whole text is scored. Without a sample of both labels all scores are the share of
+toxic ones, 0 if there are none.
 
 Null and empty texts get the score of their features like any other; rows with a null id are scored and
 not held out; repeated rows give repeated rows; an empty table gives no rows; extra columns aren't read.
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, per_text, slices
+from tidemark.llm.common import Scratch, arrow_schema, lean, per_text, slices
 
 #: Words for the second person, in the languages of the corpus, and disguises of letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos ti tú tus usted ustedes vosotros".split())
@@ -191,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, training: Column, label: s
     return rows.join(F.broadcast(picked), "id").select("id", "text", "y", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)).alias("part"))
 
 
-def learn_lexicon(rows: DataFrame, most: int = 20_000) -> dict[str, float]:
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Entries with their log-odds between toxic and other texts of (id, text, y)."""
 
     def run(batches):
@@ -208,12 +210,12 @@ def learn_lexicon(rows: DataFrame, most: int = 20_000) -> dict[str, float]:
     toxic, other = total[0] or 0, total[1] or 0
     if not toxic or not other:
         return {}
-    counts = rows.mapInArrow(run, "entry string, y int").groupBy("entry").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    counts = rows.mapInArrow(lean(run), "entry string, y int").groupBy("entry").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     odds = F.log((F.col("p") + 0.1) / (toxic + 1)) - F.log((F.col("q") + 0.5) / (other + 1))
     share = (F.col("p") + F.col("q")) / (toxic + other)
     surprise = lambda n, of: F.when(F.col(n) > 0, 2 * F.col(n) * F.log(F.col(n) / (share * of))).otherwise(0.0)
     kept = counts.where("p >= 4").withColumn("odds", odds).where((F.col("odds") >= TIERS[-1]) & (surprise("p", toxic) + surprise("q", other) >= LEAST_SURPRISE))
-    return {r["entry"]: r["odds"] for r in kept.orderBy(F.desc("odds"), "entry").limit(most).collect()}
+    return {r["entry"]: r["odds"] for r in kept.collect()}
 
 
 def featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
@@ -227,7 +229,7 @@ def featured(rows: DataFrame, lexicon: dict[str, float]) -> DataFrame:
                 x = [scorer(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(x, arrow.field(2).type)], schema=arrow)
 
-    return rows.mapInArrow(run, "y int, part bigint, x array<double>")
+    return rows.mapInArrow(lean(run), "y int, part bigint, x array<double>")
 
 
 class Model:
@@ -248,20 +250,15 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Column, label: str = "toxic", sample_rows: int = 16_000, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = training_rows(docs, labels, training, label, sample_rows, id_col, text_col)
-    n = rows.count()
-    apart = n >= 2000
-    lexicon = learn_lexicon(rows.where("part < 5") if apart else rows)
-    got = featured(rows.where("part >= 5") if apart else rows, lexicon).collect()
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.save(training_rows(docs, labels, training, label, sample_rows, id_col, text_col), "sample")
+    lexicon = learn_lexicon(rows)
+    got = featured(rows, lexicon).collect()
+    scratch.drop()
     if not got or len({r["y"] for r in got}) < 2:
         return Model(lexicon, None, None, float(np.mean([r["y"] for r in got])) if got else 0.0)
     got.sort(key=lambda r: (r["part"], r["x"]))
-    x, y, part = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float), np.array([r["part"] for r in got])
-    if apart:
-        fit, check = part < 8, part >= 8
-        trees = Trees().fit(x[fit], y[fit])
-        return Model(lexicon, trees, Isotonic(trees.raw(x[check]), y[check]), float(y.mean()))
-    # With few rows each is calibrated by trees that have not seen it.
+    x, y = np.array([r["x"] for r in got]), np.array([r["y"] for r in got], float)
     raw, turn = np.zeros(len(y)), np.empty(len(y), np.int64)
     for value in (0, 1):
         turn[y == value] = np.arange((y == value).sum()) % 5
@@ -282,7 +279,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scores = told.value.scorer()
         return lambda texts: {"score": scores(texts)}
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(per_text(make, arrow), schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(per_text(make, arrow)), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, threshold: float = 0.3, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -302,9 +299,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_co
     def run(batches):
         scores = told.value.scorer()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for part in slices(batch, 1024, 4 << 20, at):
                 clean = scores([t or "" for t in part.column(at).to_pylist()]) < threshold
                 yield pa.RecordBatch.from_arrays(part.columns, schema=arrow).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

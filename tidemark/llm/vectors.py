@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import lean
 
 BLOCK = 32_768  # queries that are broadcast at once
 TILE = 2048
@@ -132,7 +133,7 @@ def exact_top_k(df: DataFrame, is_query: Column | str, k: int = 20, scale: float
                         best.add(at + who, c_ids[c0 + pick], score)
             yield entries(*best.rows(names))
 
-        lists = rows.mapInArrow(gather, name)
+        lists = rows.mapInArrow(lean(gather), name)
         ranked = lists.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
         cut = {r["query_id"]: r["score"] for r in ranked.where(F.col("nth") == k).select("query_id", "score").collect()}
         cutoff = spark.sparkContext.broadcast(np.array([cut.get(i, -np.inf) for i in ids.tolist()], np.float64))
@@ -157,7 +158,7 @@ def exact_top_k(df: DataFrame, is_query: Column | str, k: int = 20, scale: float
                             best.add(at + w[use], c_ids[c0 + p[use]], score[use])
             yield entries(*best.rows(names))
 
-        found = rows.mapInArrow(resolve, name)
+        found = rows.mapInArrow(lean(resolve), name)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], name)
@@ -251,6 +252,6 @@ def near(df: DataFrame, is_query: Column | str, k: int = 20, projections: int =
                                 best.add(at + who[w], c_ids[points[p]], score[w, p])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows(names)], names=["query_id", "vec_id", "score"])
 
-            found = rows.mapInArrow(search, name)
+            found = rows.mapInArrow(lean(search), name)
             out = found if out is None else out.unionByName(found)
     return ranked_rows(spark.createDataFrame([], name) if out is None else out, k)
