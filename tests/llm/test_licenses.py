@@ -74,6 +74,34 @@ def test_common_short_notices_are_told_apart():
         assert {known.names[t] for _, _, t in found} == {name}
 
 
+def test_a_text_has_the_same_matches_in_any_company():
+    rng, known = random.Random(5), Templates(TEMPLATES)
+    texts = []
+    for _ in range(120):
+        w = words(rng.choice(list(TEMPLATES.values())))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w))
+            w[at:at] = [f"x{rng.randint(0, 99)}" for _ in range(rng.randint(1, 6))]
+        texts.append(" ".join(f"y{k}" for k in range(rng.randint(0, 30))) + " " + " ".join(w))
+    alone = [known.matches(pa.array([t]))[0] for t in texts]
+    assert known.matches(pa.array(texts)) == alone
+    assert known.matches(pa.array(["one two three", *texts]))[1:] == alone
+
+
+def test_whole_license_texts_are_found():
+    whole = licenses.whole_texts()
+    assert len(whole) >= 12 and all(len(t) > 500 for t in whole.values())
+    known = Templates(TEMPLATES | whole)
+    rng = random.Random(6)
+    for name, text in whole.items():
+        w = text.split()
+        for _ in range(len(w) // 100):
+            w[rng.randrange(len(w))] = "changed"
+        found = known.matches(pa.array(["before " * 37 + " ".join(w) + " after" * 50]))[0]
+        assert name in {known.names[t] for _, _, t in found}
+        assert not any(known.names[t].endswith("-text") for _, _, t in known.matches(pa.array([" ".join(w[: len(w) // 2])]))[0])
+
+
 def test_bands_make_a_miss_unlikely():
     assert 1 - (1 - 0.17) ** licenses.BANDS > 0.9999
 

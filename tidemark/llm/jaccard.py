@@ -49,7 +49,7 @@ GROUPS = 128
 FULL = 65_535  # a group's count is this or more
 SMALL_IDS = 1_000_000  # up to so many 64-bit ids may be broadcast
 SLICE = 3 << 20  # bytes of text that are hashed at once
-BLOCK_ROWS = 16_384  # a block with more sets is searched in cells of two such parts
+BLOCK_ROWS = 4096  # a block with more sets is searched in cells of two such parts
 CELL_SHINGLES = 1 << 20  # and so is a cluster with more shingles
 WORDS = re.compile(WORD)
 LOWER_CASE = {k: k + 32 for k in range(65, 91)}

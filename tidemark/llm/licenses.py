@@ -1,26 +1,28 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact containment decides.
 
 Words are runs of letters and digits, in lower case; shingles are of five words. A template of t words
-belongs to the class of the least power of two from 8 on that is t or more. Texts are cut into blocks of
-each class's size, and two neighbouring blocks are a window, so every passage of t words lies whole in
-one. Such a window has at most 4t shingles; if it holds 3/4 of a template's, their Jaccard similarity is
+belongs to the class of the least power of two from 8 on that is t or more. Each text is cut from its own
+first word into blocks of each class's size, and two neighbouring blocks are a window, so every passage of t
+words lies whole in one, and what is found in a text does not depend on the texts beside it. Such a window has at most 4t shingles; if it holds 3/4 of a template's, their Jaccard similarity is
 0.17 or more, and of ``BANDS`` bands of one row at least one agrees with a probability over
 1 - (1 - 0.17) ** 64 = 0.99999. A band that agrees means a shingle in common, so little is retrieved in vain.
 
 A retrieved template is a match where the window holds at least 3/4 of its distinct shingles; it goes
-from the first to the last of them. Matches of one template that overlap are one. Nulls and empty texts
+from the first to the last of them. Templates are short notices and, in ``templates/``, whole license texts. Matches of one template that overlap are one. Nulls and empty texts
 have none, repeated rows give repeated rows, texts are scanned whole, extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+from importlib import resources
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import arrow_schema, lean, slices
+from tidemark.llm.common import arrow_schema, lean, slices, spans
 from tidemark.llm.words import SIGNS, Texts, mix
 
 #: Notices of licenses, as they are commonly published.
@@ -59,6 +61,14 @@ for _kind, _title in CREATIVE_COMMONS.items():
         TEMPLATES[f"cc-{_kind}-{_version}"] = f"Licensed under CC {_kind.upper()} {_version}."
         TEMPLATES[f"cc-{_kind}-{_version}-notice"] = f"This work is licensed under a Creative Commons {_title} {_version} {_port} License."
 SHINGLE, BANDS, SHARE = 5, 64, 0.75
+
+
+def whole_texts() -> dict[str, str]:
+    """The license texts that lie beside this module, by name."""
+    folder = resources.files(__package__) / "templates"
+    return {f"{f.name.removesuffix('.txt')}-text": f.read_text(encoding="utf-8") for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+
+
 SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 NEVER = np.uint64((1 << 64) - 1)
 
@@ -80,40 +90,50 @@ class Templates:
         self.bands = np.array([[mix(s ^ seed).min() for seed in SEEDS] for s in self.sets])
         self.all = np.unique(np.concatenate(self.sets))
 
-    def retrieved(self, grams: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first word, last word) of the windows with a band in common; ``grams`` is NEVER where texts meet."""
+    def retrieved(self, grams: np.ndarray, words: np.ndarray) -> set[tuple[int, int, int]]:
+        """(template, first word, end) of the windows with a band in common.
+
+        ``words``: of each text; ``grams``: one for each word, NEVER where a text ends before it does.
+        """
         found: set[tuple[int, int, int]] = set()
         if not len(grams):
             return found
         most = max(self.classes)
-        starts = np.arange(0, len(grams), 8)
+        levels = []  # of each size: where its blocks begin among those of half the size, which go on in their text, and at which word
+        blocks, first = -(-words // 8), np.cumsum(words) - words
+        first, blocks = first[words > 0], blocks[words > 0]
+        size, half = 8, first
+        while size <= most:
+            start = np.repeat(half, blocks) + (8 if size == 8 else 2) * spans(blocks)
+            goes_on = np.ones(len(start), bool)
+            goes_on[np.cumsum(blocks) - 1] = False
+            levels.append((size, start, goes_on, np.repeat(first, blocks) + size * spans(blocks)))
+            half, blocks, size = np.cumsum(blocks) - blocks, -(-blocks // 2), 2 * size
         for j, seed in enumerate(SEEDS):
-            low = np.minimum.reduceat(np.where(grams == NEVER, NEVER, mix(grams ^ seed)), starts)
-            size = 8
-            while size <= most:
-                if size > 8:  # two blocks make one of the next size
-                    low = np.minimum(low[::2], np.append(low[1::2], NEVER)[: len(low[::2])])
-                window = np.minimum(low, np.append(low[1:], NEVER))
+            low = np.where(grams == NEVER, NEVER, mix(grams ^ seed))
+            for size, start, goes_on, word in levels:
+                low = np.minimum.reduceat(low, start)
+                window = low.copy()
+                window[:-1][goes_on[:-1]] = np.minimum(low[:-1], low[1:])[goes_on[:-1]]
                 for t in self.classes.get(size, ()):
                     for w in np.flatnonzero(window == self.bands[t, j]).tolist():
-                        found.add((t, w * size, (w + 2) * size))
-                size *= 2
+                        found.add((t, int(word[w]), int(word[w + 1 if goes_on[w] else w]) + size))
         return found
 
     def matches(self, column: pa.Array) -> list[list[tuple[int, int, int]]]:
         """Of each text its matches: (first word, end, template), in order."""
         texts = Texts(column, lower=True, gaps=SIGNS)
         out: list[list[tuple[int, int, int]]] = [[] for _ in range(texts.n)]
-        grams = texts.sequences(SHINGLE)
-        grams = np.where(texts.whole(SHINGLE), grams, NEVER) if len(grams) else grams
-        for t, lo, hi in self.retrieved(grams):
-            part = grams[lo:hi]
-            hit = lo + np.flatnonzero(np.isin(part, self.sets[t]))
-            for text in np.unique(texts.text[hit]).tolist():
-                own = hit[texts.text[hit] == text]
-                if len(np.unique(grams[own])) >= SHARE * len(self.sets[t]):
-                    first = int(texts.first[text])
-                    out[text].append((int(own[0]) - first, int(own[-1]) - first + SHINGLE, t))
+        grams = np.full(len(texts.hash), NEVER)
+        if len(grams) >= SHINGLE:
+            grams[: len(grams) - SHINGLE + 1] = np.where(texts.whole(SHINGLE), texts.sequences(SHINGLE), NEVER)
+        for t, lo, hi in self.retrieved(grams, texts.words):
+            text = int(texts.text[lo])
+            first = int(texts.first[text])
+            hi = min(hi, first + int(texts.words[text]))
+            hit = lo + np.flatnonzero(np.isin(grams[lo:hi], self.sets[t]))
+            if len(np.unique(grams[hit])) >= SHARE * len(self.sets[t]):
+                out[text].append((int(hit[0]) - first, int(hit[-1]) - first + SHINGLE, t))
         return [self.merged(m) for m in out]
 
     @staticmethod
@@ -132,7 +152,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_matches bigint, matches string"
     arrow = arrow_schema(T._parse_datatype_string(schema))
-    texts = templates or TEMPLATES
+    texts = templates or TEMPLATES | whole_texts()
 
     def run(batches):
         known = Templates(texts)
