@@ -85,3 +85,46 @@ def test_tree_boxes_hold_their_points():
 
 def test_chi_square():
     assert chi_square(8, 0.95) == pytest.approx(15.507, rel=0.01)
+
+
+def test_threshold_leaves_candidates_unresolved(spark, data):
+    ids, x = data
+    got, pairs, resolved = vectors._exact_top_k(frame(spark, ids, x, ODD), IS_QUERY)
+    assert told(got) == plain(ids, np.floor(64 * x.astype(float)), 20)
+    assert pairs.value == 35 * 700 and 0 < resolved.value < 0.6 * pairs.value
+
+
+@pytest.mark.parametrize("size", [1e5, 1e6, 5e6])
+def test_scores_beyond_doubles_are_exact(spark, size):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(60, 16)) * size + 0.37, 2)
+    x[40:] = x[20:40] + rng.integers(-1, 2, (20, 16)) / 64  # scores that differ by little
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    whole = [[int(c) for c in np.floor(64 * v)] for v in x]
+    want = {q: sorted(((sum(a * b for a, b in zip(whole[q], w, strict=True)), i) for i, w in enumerate(whole) if i != q), key=lambda t: (-t[0], t[1]))[:20] for q in (0, 20, 40)}
+    got: dict = {}
+    for r in exact_top_k(df, IS_QUERY).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == want
+
+
+def test_scores_that_no_long_holds_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e8, 1e8]), (1, [1e8, 2e8])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(OverflowError, match="long"):
+        exact_top_k(df, IS_QUERY)
+
+
+def test_a_query_id_with_several_vectors_counts_by_the_greatest(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert told(exact_top_k(df, IS_QUERY)) == {0: [(1, 3.0 * 2 * 4096), (1, 2.0 * 4096)]}
+    assert told(near(df, IS_QUERY)) == {0: [(1, 6.0), (1, 2.0)]}
+
+
+def test_stopping_test_spares_candidates(spark):
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, v = x.vec_id.to_numpy(), np.array(x.embedding.tolist(), float)
+    got = near(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), IS_QUERY).toPandas()
+    want = plain(ids, v, 20)
+    hits = sum(len({i for i, _ in best} & set(got[got.query_id == q].vec_id)) for q, best in want.items())
+    share = got.groupby("query_id").verified.first().mean() / len(ids)
+    assert hits / sum(map(len, want.values())) >= 0.9 and share < 0.75
