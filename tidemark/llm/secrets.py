@@ -3,9 +3,11 @@
 Base spans, per kind leftmost and non-overlapping: assignments to a secret-like name, access key ids,
 hexadecimal runs. The method adds spans of kind ``novel``: a candidate is a run of key-like characters
 near a sensitive word. A zstandard compressor is primed with a dictionary of common identifiers and the
-text around the candidate; what the candidate costs beyond the frame of an empty string is its marginal
-size. Names, words and repeats cost next to nothing, random material costs close to its entropy, so a
-candidate is reported when it is nearly incompressible and mixes kinds of characters.
+text around the candidate, and fed letters as they are frequent in identifiers, so that literals are
+entropy-coded by them; what the candidate adds to that is its marginal size. Repeats and known identifiers
+cost next to nothing, other words and names some 0.5 to 0.8 bytes a character, random material a byte and
+more, so the marginal size alone tells a secret, whatever characters it is made of. Keys of 16 to 20 small
+letters and digits may pass for names. A key that its surroundings repeat is no news.
 
 Offsets are code points, ends exclusive. A null text is an empty one and has no spans; repeated rows
 give repeated rows; texts of any length are scanned whole; extra columns are not looked at.
@@ -14,6 +16,7 @@ give repeated rows; texts of any length are scanned whole; extra columns are not
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from itertools import islice
 
@@ -43,6 +46,8 @@ IDENTIFIERS = (
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 AROUND, NEAR = 1024, 48
+FRAME = 3  # bytes by which a size may be off
+LETTERS = "".join(random.Random(5).choices(IDENTIFIERS.decode().split("0123456789")[0], k=1024)).encode()
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -55,14 +60,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def marginal_bytes(candidate: str, around: str) -> int:
-    """Compressed bytes that the candidate adds, given its surroundings and the identifiers."""
+    """Compressed bytes that the candidate adds to the letters, given its surroundings and the identifiers."""
     primed = zstandard.ZstdCompressionDict(IDENTIFIERS + around.encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     zip_ = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(zip_.compress(candidate.encode("utf-8"))) - len(zip_.compress(b""))
+    return len(zip_.compress(LETTERS + candidate.encode("utf-8"))) - len(zip_.compress(LETTERS))
 
 
-def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.7) -> list[tuple[int, int, int]]:
-    """Strings near a sensitive word whose marginal size is ``least`` of their length or more.
+def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.8) -> list[tuple[int, int, int]]:
+    """Strings near a sensitive word whose marginal size is ``least`` of their length and a few bytes, or more.
 
     What base spans cover whole isn't looked at again.
     """
@@ -79,11 +84,9 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.7
         if at >= end:
             continue
         word = m[0]
-        if not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
-            continue
         if SENSITIVE.search(text, max(0, start - NEAR), min(len(text), end + NEAR)):
             around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-            if marginal_bytes(word, around) >= least * len(word):
+            if marginal_bytes(word, around) >= least * len(word) + FRAME:
                 out.append((start, 3, end))
     return out
 
