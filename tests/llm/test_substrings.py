@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import substrings
 from tidemark.llm.substrings import FingerprintIndex, dedup, dedup_digest
 from tidemark.llm.words import Texts, least
 
@@ -95,3 +96,46 @@ def test_hashes_of_sequences_and_places():
     for n in (1, 3, 5, 7):
         assert len(t.sequences(n)) == 8 - n + 1
     assert least(np.array([3, 1, 2, 5, 4]), 3).tolist() == [1, 1, 2]
+
+
+def test_a_reopened_index_takes_a_batch(spark):
+    rows = [r for r in corpus(12, list("abcdefghij")) if r[0] is not None]
+    texts = sorted({i: t for i, t in rows}.items())
+    half = len(texts) // 2
+    frame = lambda part: spark.createDataFrame([(i, t, i) for i, t in part], "id bigint, text string, th bigint")
+    index = FingerprintIndex(spark)
+    index.add(frame(texts[:half]))
+    again = FingerprintIndex.open(spark, index.scratch.root)
+    assert list(again.runs) == list(index.runs)
+    with substrings.settings(spark, substrings.AS_IT_LIES | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = again.merged(substrings.units(frame(texts[half:]), 20))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2 and "Bucketed: true" in plan
+    spans, _ = again.add(frame(texts[half:]), last=True)
+    covered: dict = {}
+    for r in spans.collect():
+        covered.setdefault(r.id, set()).update(range(r.lo, r.hi))
+    gone = {i: len(w) - len(left) for i, w, left in kept(texts, 20)}
+    assert all(len(c) <= gone[i] for i, c in covered.items())
+    whole = [i for i, t in texts[half:] if t and len(WORD.findall(t)) >= 20 and any(t == u for _, u in texts[:half])]
+    assert all(len(covered[i]) == gone[i] for i in whole)
+
+
+def test_the_query_compacts_its_runs(spark, monkeypatch):
+    calls, compact = [], FingerprintIndex.compact
+    monkeypatch.setattr(FingerprintIndex, "compact", lambda self: (calls.append(len(self.runs)), compact(self)))
+    rows = [r for r in corpus(13, list("abcdefghijklmnopqrst"), 80) if r[0] is not None]
+    got = dedup_digest(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == plain(rows) and calls
+
+
+def test_words_that_a_polynomial_takes_for_one(spark):
+    odd = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    rows = [(1, " ".join(["w"] * 9 + [odd] + [f"x{k}" for k in range(10)])), (2, " ".join(["w"] * 9 + [odd.translate(str.maketrans("ab", "ba"))] + [f"x{k}" for k in range(10)]))]
+    got = dedup_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_columns_with_names_of_our_own(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, text, "a", "b", 1, 2), (2, text, "c", "d", 3, 4)], "doc_id bigint, text string, th__ string, spans__ string, th int, id int")
+    assert sorted(map(tuple, dedup(docs).collect())) == [(1, text, "a", "b", 1, 2), (2, "", "c", "d", 3, 4)]

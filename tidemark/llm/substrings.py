@@ -6,16 +6,18 @@ earlier (smaller id, or same text further ahead). To know this of every window,
 1. Among the short grams of a window the one with the least hash is its minimizer. Neighbouring windows
    mostly share it, and equal windows always do. All windows in a row with one minimizer are a unit,
    hashed as a whole; a text has a unit for each eight words or so.
-2. The index is a log of immutable runs of units, each sorted by minimizer. A batch of texts, in order
-   of ids, is merge-joined with the runs on the minimizer. A unit that the index (or the batch, earlier)
-   holds as it is repeats in whole, so it is settled. The others become a new run; many runs are
-   compacted into one.
+2. The index is a log of immutable runs of units: tables bucketed and sorted by minimizer, listed in a
+   manifest, so an index can be opened again. A batch of texts, in order of ids, is shuffled to the same
+   buckets once and merge-joined with each run as it lies: old runs are never shuffled. A unit that the
+   index (or the batch, earlier) holds as it is repeats in whole, so it is settled. The others become a
+   new run; where there are more than ``fan_in``, all are compacted into one.
 3. Where different units share a minimizer, windows of one may still lie in another. Only of such units
    the texts are read again, and window by window the first place of each is found by an aggregate.
 
-Both the minimizer's and the unit's or window's hash must agree (128 bits). Copies inside a slice are
-settled before the shuffle and dealt out by document, so a hot passage sends a row a slice, not a row a
-document, to its minimizer's task; what a minimizer gathers there is sorted and spilled, never held.
+Both the minimizer's and the unit's hash must agree, or both of a window's: 128 bits, whose halves come
+from two independent hashes of every word. Copies inside a slice are settled before the shuffle and stay with
+their document, so a hot passage sends a row a slice, not a row a document, to its minimizer's task; what a
+minimizer gathers there is sorted and spilled, never held.
 
 Null texts are empty: no words, nothing removed. Rows with a null id take no part and keep all words.
 Rows that repeat an id with the same text are one document; with another text they are the same
@@ -25,6 +27,10 @@ document's further text, of which only earlier starts count. An empty table give
 from __future__ import annotations
 
 import hashlib
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,27 +38,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, arrow_schema, lean, slices
+from tidemark.llm.common import Scratch, arrow_schema, lean, shuffle_partitions, slices, spare
 from tidemark.llm.words import Texts, least, mix
 
 GRAM = 5
 SLICE = 4 << 20  # bytes of text that are hashed at once
-UNIT = "key bigint, mh bigint, uh bigint, id bigint, th bigint, lo int, n int, again boolean"
+UNIT = "mh bigint, uh bigint, id bigint, th bigint, lo int, n int"
 SPAN = "id bigint, th bigint, lo int, hi int"
+#: So that a batch may be joined by unit where both sides are dealt by minimizer, and a bucket is taken as the sorted file that it is.
+AS_IT_LIES = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 def units(docs: DataFrame, window: int) -> DataFrame:
     """Of (id, text, th): each unit's minimizer and own hash, its first window and number of windows.
 
-    ``again``: it repeats an earlier unit of its slice; ``key``: by which it is dealt out.
+    ``again``: units in a row that repeat earlier units of the slice, as one, without hashes.
     """
-    arrow = arrow_schema(T._parse_datatype_string(UNIT))
+    arrow = arrow_schema(T._parse_datatype_string(f"{UNIT}, again boolean"))
     width, bits = window - GRAM + 1, np.uint64((1 << 28) - 1)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 8192, SLICE):
-                texts = Texts(part.column(1))
+                texts = Texts(part.column(1), twin=True)
                 total = len(texts.hash)
                 if total < window:
                     continue
@@ -67,7 +75,7 @@ def units(docs: DataFrame, window: int) -> DataFrame:
                 first = np.flatnonzero(new)
                 count = np.diff(np.append(first, len(start)))
                 lo, hi, at = start[first], start[first + count - 1], at[first]
-                long = texts.sequences(window)
+                long = texts.sequences(window, twin=True)
                 shape = ((at - lo) * 64 + count).astype(np.uint64)
                 mh, uh = gram[at], mix(long[lo] + np.uint64(3) * mix(long[hi] + shape))
                 owner = texts.text[lo]
@@ -83,24 +91,104 @@ def units(docs: DataFrame, window: int) -> DataFrame:
                 again[order] = later
                 twin = np.zeros(len(order), bool)
                 twin[order] = same & ~later
-                keep = np.flatnonzero(~twin)
-                key = np.where(again, mix(ids.astype(np.uint64) + mh), mh).view(np.int64)
+                old = np.flatnonzero(again)  # in order of places, so what overlaps is in a row
+                joins = np.zeros(len(old), bool)
+                joins[1:] = (owner[old[1:]] == owner[old[:-1]]) & (place[old[1:]] <= (place + count)[old[:-1]] + window - 1)
+                begin = np.flatnonzero(~joins)
+                end = np.append(begin[1:], len(old))[: len(begin)] - 1
+                keep = np.concatenate([np.flatnonzero(~twin & ~again), old[begin]])
+                size = np.concatenate([count[~twin & ~again], (place + count)[old[end]] - place[old[begin]]])
+                mh, uh = (np.where(again, np.uint64(0), h).view(np.int64) for h in (mh, uh))
                 th = part.column(2).to_numpy()[owner]
-                cols = [key, mh.view(np.int64), uh.view(np.int64), ids, th, place, count, again]
-                yield pa.RecordBatch.from_arrays([pa.array(c[keep]).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                cols = [mh[keep], uh[keep], ids[keep], th[keep], place[keep], size, again[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return docs.select("id", "text", "th").where("id is not null").mapInArrow(lean(run), f"{UNIT}, again boolean")
+
 
-    return docs.select("id", "text", "th").where("id is not null").mapInArrow(lean(run), UNIT)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold while something is planned and run."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class FingerprintIndex:
-    """The units seen so far, as sorted runs in the shared folder."""
+    """The units seen so far, as bucketed and sorted runs in a shared folder; ``open`` takes up one that was left."""
 
-    def __init__(self, spark: SparkSession, window: int = 20, fan_in: int = 4):
+    def __init__(self, spark: SparkSession, window: int = 20, fan_in: int = 2, buckets: int | None = None):
         self.spark, self.window, self.fan_in = spark, window, fan_in
-        self.scratch, self.runs, self.made = Scratch(spark, "substrings"), [], 0
+        self.buckets = buckets or shuffle_partitions(spark)
+        self.scratch, self.made = Scratch(spark, "substrings"), 0
+        self.runs: dict[str, str] = {}  # name of the run: of its table in the session
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        told = spark.read.json(f"{root}/manifest")
+        last = told.orderBy(F.desc("made")).first()
+        index = cls(spark, last["window"], last["fan_in"], last["buckets"])
+        index.scratch.root, index.made = root, last["made"]
+        for name in last["runs"]:
+            index._register(name)
+        return index
+
+    def _register(self, name: str) -> None:
+        table = f"default.tidemark_run_{uuid.uuid4().hex}"
+        self.spark.sql(
+            f"CREATE TABLE {table} ({UNIT}, fate int) USING parquet CLUSTERED BY (mh) SORTED BY (mh, uh) "
+            f"INTO {self.buckets} BUCKETS LOCATION '{self.scratch.root}/run-{name}'"
+        )
+        self.runs[name] = table
 
     def run(self, name: str) -> DataFrame:
-        return self.scratch.load(f"units-{name}", T._parse_datatype_string(f"{UNIT}, fate int"))
+        return self.spark.table(self.runs[name]).where("fate < 2")
+
+    def _write_run(self, rows: DataFrame) -> str:
+        """Rows that are dealt by minimizer to as many partitions as there are buckets: a sorted file each."""
+        name, self.made = str(self.made), self.made + 1
+        table = f"default.tidemark_run_{uuid.uuid4().hex}"
+        writer = rows.write.format("parquet").option("compression", "zstd").option("path", f"{self.scratch.root}/run-{name}")
+        writer.bucketBy(self.buckets, "mh").sortBy("mh", "uh").saveAsTable(table)
+        self.runs[name] = table
+        return name
+
+    def _note(self) -> None:
+        row = T.Row(made=self.made, window=self.window, fan_in=self.fan_in, buckets=self.buckets, runs=list(self.runs))
+        schema = "made int, window int, fan_in int, buckets int, runs array<string>"
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("append").json(f"{self.scratch.root}/manifest")
+
+    def _forget(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.runs.pop(name)}")
+        self.scratch.drop(f"run-{name}")
+
+    def close(self) -> None:
+        """Frees all runs."""
+        for name in list(self.runs):
+            self._forget(name)
+
+    def merged(self, fresh: DataFrame) -> DataFrame:
+        """New units with their fate: 2 repeats in whole, 1 shares its minimizer with others, 0 does neither."""
+        by_unit, by_gram = Window.partitionBy("mh", "uh").orderBy("id", "lo"), Window.partitionBy("mh")
+        new = (
+            fresh.where("not again").drop("again").repartition(self.buckets, "mh")
+            .withColumn("old", F.first(F.struct("id", "lo")).over(by_unit) != F.struct("id", "lo"))
+            .withColumn("low", F.min("uh").over(by_gram)).withColumn("high", F.max("uh").over(by_gram))
+        )
+        for name in self.runs:
+            held = self.run(name).select("mh", "uh")
+            same = held.distinct().withColumn("held", F.lit(True))
+            grams = held.groupBy("mh").agg(F.min("uh").alias("least"), F.max("uh").alias("most"))
+            new = new.join(same, ["mh", "uh"], "left").join(grams, "mh", "left").withColumns(
+                {"old": F.col("old") | F.coalesce("held", F.lit(False)), "low": F.least("low", "least"), "high": F.greatest("high", "most")}
+            ).drop("held", "least", "most")
+        fate = F.when(F.col("old"), 2).when(F.col("low") != F.col("high"), 1).otherwise(0)
+        return new.select(*[f.split()[0] for f in UNIT.split(", ")], fate.alias("fate"))
 
     def add(self, docs: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame]:
         """Takes in a batch of (id, text, th) whose ids all follow those of earlier batches.
@@ -108,46 +196,36 @@ class FingerprintIndex:
         Returns (id, th, lo, hi) of the words that whole repeated units cover, and the units of any
         batch whose windows are still to be compared. After the ``last`` batch nothing is kept for others.
         """
-        fresh = units(docs, self.window).withColumn("old", F.lit(False))
-        for r in self.runs:
-            fresh = fresh.unionByName(self.run(r).where("fate <= 1").drop("fate").withColumn("old", F.lit(True)))
-        by_unit = Window.partitionBy("key", "mh", "uh").orderBy("id", "lo")
-        by_gram = Window.partitionBy("key", "mh")
-        first = F.struct("id", "lo")
-        fate = (
-            F.when(F.col("again") | (F.col("head") != first), 2)  # repeats in whole
-            .when(F.col("low") != F.col("high"), 1)  # shares its minimizer with others
-            .otherwise(0)
-        )
-        named = (
-            fresh.withColumn("low", F.min(F.when(~F.col("again"), F.col("uh"))).over(by_gram))
-            .withColumn("high", F.max(F.when(~F.col("again"), F.col("uh"))).over(by_gram))
-            .withColumn("head", F.first(first).over(by_unit))
-            .withColumn("fate", F.when(F.col("old") & F.col("again"), -1).otherwise(fate))
-        )
-        name, self.made = str(self.made), self.made + 1
-        kept = named.where("fate > 0" if last else "fate > 0 or not old")
-        self.scratch.save(kept.select(*[f.split()[0] for f in UNIT.split(", ")], "fate"), f"units-{name}")
-        new = self.run(name)
-        spans = new.where("fate = 2").select("id", "th", "lo", (F.col("lo") + F.col("n") + (self.window - 1)).alias("hi"))
-        if not last:
-            self.runs.append(name)
+        turn = self.made
+        fresh = self.scratch.save(units(docs, self.window), f"units-{turn}")
+        with settings(self.spark, AS_IT_LIES):
+            before = list(self.runs)
+            name = self._write_run(self.merged(fresh))
+            told = self.spark.table(self.runs[name])
+            open_ = told.where("fate = 1").select("id", "th", "lo", "n")
+            grams = told.groupBy("mh").agg(F.min("uh").alias("least"), F.max("uh").alias("most"))
+            for r in before:  # old units whose minimizer is shared by now
+                open_ = open_.unionByName(self.run(r).join(grams, "mh").where("least != uh or most != uh").select("id", "th", "lo", "n"))
+            open_ = self.scratch.save(open_, f"open-{turn}")
+        whole = fresh.where("again").select("id", "th", "lo", "n").unionByName(told.where("fate = 2").select("id", "th", "lo", "n"))
+        spans = self.scratch.save(whole.select("id", "th", "lo", (F.col("lo") + F.col("n") + (self.window - 1)).alias("hi")), f"spans-{turn}")
+        self.scratch.drop(f"units-{turn}")
+        if last:
+            self.close()
+        else:
             if len(self.runs) > self.fan_in:
                 self.compact()
-        return spans, new.where("fate = 1").select("id", "th", "lo", "n")
+            self._note()
+        return spans, open_
 
     def compact(self) -> None:
         """Merges all runs into one; of a unit only its first place stays."""
-        rows = self.run(self.runs[0])
-        for r in self.runs[1:]:
-            rows = rows.unionByName(self.run(r))
-        rows = rows.where("fate <= 1").groupBy("key", "mh", "uh").agg(
-            F.min(F.struct("id", "th", "lo", "n", "again")).alias("x"), F.max("fate").alias("fate")
-        )
-        name, self.made = str(self.made), self.made + 1
-        merged = rows.select("key", "mh", "uh", "x.*", "fate").repartition("key").sortWithinPartitions("key")
-        self.scratch.save(merged, f"units-{name}")
-        self.runs = [name]
+        old = list(self.runs)
+        rows = reduce(DataFrame.unionByName, [self.run(r) for r in old])
+        rows = rows.repartition(self.buckets, "mh").groupBy("mh", "uh").agg(F.min(F.struct("id", "lo", "th", "n")).alias("x"))
+        self._write_run(rows.select("mh", "uh", "x.id", "x.th", "x.lo", "x.n", F.lit(0).alias("fate")))
+        for r in old:
+            self._forget(r)
 
 
 def windows_of(docs: DataFrame, window: int) -> DataFrame:
@@ -158,10 +236,10 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch.select(["id", "text", "th", "units"]), 8192, SLICE):
-                texts = Texts(part.column(1))
+                texts = Texts(part.column(1), twin=True)
                 if len(texts.hash) < window:
                     continue
-                long, half = texts.sequences(window), texts.sequences(window // 2 or 1)
+                long, half = texts.sequences(window), texts.sequences(window, twin=True)
                 lists = part.column(3)
                 items = lists.flatten()
                 owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
@@ -175,7 +253,7 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(lean(run), schema)
 
 
-def repeated_spans(docs: DataFrame, window: int = 20, batches: int = 2) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 20, batches: int = 4) -> DataFrame:
     """(id, th, spans): the word ranges of (id, text, th) that repeat earlier windows, a row for each text that has any."""
     index = FingerprintIndex(docs.sparkSession, window)
     cuts = docs.approxQuantile("id", [k / batches for k in range(1, batches)], 0.05) if batches > 1 else []
@@ -187,6 +265,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, batches: int = 2) -> DataF
     spans, open_ = found[0]
     for s, o in found[1:]:
         spans, open_ = spans.unionByName(s), open_.unionByName(o)
+    # Columns of these tables are named here, so what else a table of documents holds cannot clash.
     listed = open_.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n")).alias("units"))
     compared = index.scratch.save(windows_of(docs.select("id", "th", "text").join(listed, ["id", "th"]), window), "windows")
     heads = compared.groupBy("wh", "mh").agg(F.min(F.struct("id", "lo")).alias("head"), F.max(F.struct("id", "lo")).alias("tail"))
@@ -211,7 +290,7 @@ def _joined(texts: Texts, data: bytes, i: int, keep: np.ndarray) -> bytes:
     return b" ".join([data[a:b] for a, b in zip(texts.begin[w].tolist(), texts.stop[w].tolist(), strict=True)])
 
 
-def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_removed, and the SHA-256 of the words kept, joined by a space."""
     rows = _prepared(docs, id_col, text_col)
     both = rows.join(repeated_spans(rows, window, batches), ["id", "th"], "left").select("id", "text", "spans")
@@ -233,16 +312,17 @@ def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 2, id_col: st
     return both.mapInArrow(lean(run), schema)
 
 
-def dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = 20, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without what repeats: a text that loses words becomes its kept words joined by a space.
 
     Texts that lose nothing, and nulls, stay as they are.
     """
     rows = _prepared(docs, id_col, text_col)
     spans = repeated_spans(rows, window, batches)
-    d, s = docs.withColumn("th__", F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d"), spans.alias("s")
-    same = (F.col(f"d.{id_col}").cast("bigint") == F.col("s.id")) & (F.col("d.th__") == F.col("s.th"))
-    both = d.join(s, same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("s.spans").alias("spans__"))
+    name = spare(docs, "th")
+    d, s = docs.withColumn(name, F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("d"), spans.alias("s")
+    same = (F.col(f"d.`{id_col}`").cast("bigint") == F.col("s.id")) & (F.col(f"d.{name}") == F.col("s.th"))
+    both = d.join(s, same, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("s.spans").alias(spare(docs, "spans")))
     arrow = arrow_schema(docs.schema)
     at = docs.columns.index(text_col)
 
