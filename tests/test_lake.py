@@ -141,6 +141,25 @@ class TestTables:
         lake.sql(f"drop database other.{name} cascade")
         assert rows(lake.table(f"{db}.t")) == [(1,)]
 
+    def test_alias_and_column_are_no_table(self, lake, db):
+        name = db.split(".")[1]
+        lake.sql("create database if not exists o")
+        try:
+            lake.sql("create table o.id using delta as select 7 as x")
+            lake.sql(f"create table {db}.t using delta as select 1 as id, 'a' as v")
+            assert rows(lake.sql(f"select o.id from {db}.t o where o.id = 1")) == [(1,)]
+            assert rows(lake.sql(f"select t.id, {db}.t.v from {db}.t where {db}.t.id > 0")) == [(1, "a")]
+            assert rows(lake.sql("select id.x from o.id")) == [(7,)]
+            lake.sql(f"use {db}")
+            assert rows(lake.sql("select t.id from t")) == [(1,)]
+            assert rows(lake.sql("with t as (select 5 as id) select * from t")) == [(5,)]
+            lake.sql("use o")
+            assert rows(lake.sql(f"select x, t.v from id, {db}.t")) == [(7, "a")]
+        finally:
+            lake.sql("use default")
+            lake.catalogs["spark_catalog"].drop_namespace("o", cascade=True)
+        assert name
+
     def test_names_in_subqueries_and_ctes(self, lake, db):
         lake.sql(f"create table {db}.t using delta as select id from range(5)")
         q = f"with w as (select id from {db}.t where id > (select min(id) from {db}.t)) select count(*) n from w where exists (select 1 from {db}.t t where t.id = w.id)"
