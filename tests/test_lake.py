@@ -271,6 +271,26 @@ class TestLogTables:
         lake.sql(f"delete from {t} where id = 5")
         assert rows(lake.sql(f"select id from {t}")) == [(1,), (2,), (3,), (4,)]
 
+    def test_defaults(self, lake, db):
+        lake.sql(f"create table {db}.d (id int, b int default 3 comment 'x, y', c string default 'a, b') using delta")
+        lake.sql(f"insert into {db}.d (id) values (1)")
+        lake.sql(f"insert into {db}.d values (2, 5, null)")
+        assert rows(lake.table(f"{db}.d")) == [(1, 3, "a, b"), (2, 5, None)]
+        lake.sql(f"update {db}.d set b = default where id = 2")
+        lake.sql(f"merge into {db}.d t using (select 1 as id union all select 9) s on t.id = s.id when matched then update set c = default when not matched then insert (id, b) values (s.id, default)")
+        assert rows(lake.table(f"{db}.d")) == [(1, 3, "a, b"), (2, 3, None), (9, 3, "a, b")]
+
+    def test_columns_are_added_in_their_place(self, lake, db):
+        lake.sql(f"create table {db}.n (id int, s struct<a: int, z: int>) using delta")
+        lake.sql(f"alter table {db}.n add columns (q int after id, p string first, s.b int after a)")
+        assert lake.table(f"{db}.n").schema.simpleString() == "struct<p:string,id:int,q:int,s:struct<a:int,b:int,z:int>>"
+
+    def test_show_partitions(self, lake, t, db):
+        assert rows(lake.sql(f"show partitions {t}")) == [("p=__HIVE_DEFAULT_PARTITION__",), ("p=x",), ("p=y",)]
+        lake.sql(f"create table {db}.w (a int) using delta")
+        with pytest.raises(LogTableError, match="no partitions"):
+            lake.sql(f"show partitions {db}.w")
+
     def test_overwrites(self, lake, t):
         lake.sql(f"insert overwrite {t} partition (p = 'x') select 9, 'z'")
         assert rows(lake.sql(f"select id from {t}")) == [(3,), (4,), (9,)]

@@ -36,6 +36,20 @@ class LogTableError(ValueError):
     pass
 
 
+#: Fixed value: the key under which a column's metadata hold its default.
+DEFAULT_KEY = "CURRENT_DEFAULT"
+
+
+def default_of(f: T.StructField) -> Column:
+    """What a column gets that no value is given for."""
+    return F.expr(f.metadata.get(DEFAULT_KEY, "null")).cast(f.dataType)
+
+
+def told_value(value: str, f: T.StructField) -> Column:
+    """A value of UPDATE or MERGE: an expression or the word DEFAULT."""
+    return default_of(f) if value.strip().lower() == "default" else F.expr(value).cast(f.dataType)
+
+
 @dataclass
 class Snapshot:
     version: int
@@ -228,7 +242,7 @@ class LogTable:
             unknown = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
             if unknown:
                 raise LogTableError(f"columns {unknown} are not in the table {names}")
-            df = df.select(*[F.col(f"`{given[n.lower()]}`").alias(n) if n.lower() in given else F.lit(None).alias(n) for n in names])
+            df = df.select(*[F.col(f"`{given[f.name.lower()]}`").alias(f.name) if f.name.lower() in given else default_of(f).alias(f.name) for f in s.schema])
         elif len(df.columns) != len(names):
             raise LogTableError(f"{len(df.columns)} columns given, the table has {len(names)}: {names}")
         else:
@@ -304,7 +318,7 @@ class LogTable:
 
             def make(df: DataFrame) -> DataFrame:
                 df = df.alias(alias)
-                return df.select(*[(F.when(hit, F.expr(pairs[f.name.lower()]).cast(f.dataType)).otherwise(F.col(f"{alias}.`{f.name}`")) if f.name.lower() in pairs else F.col(f"{alias}.`{f.name}`")).alias(f.name) for f in s.schema])
+                return df.select(*[(F.when(hit, told_value(pairs[f.name.lower()], f)).otherwise(F.col(f"{alias}.`{f.name}`")) if f.name.lower() in pairs else F.col(f"{alias}.`{f.name}`")).alias(f.name) for f in s.schema])
 
             return "UPDATE", self.rewrite(s, self.with_files(s).alias(alias).where(hit), make), {"predicate": condition}
 
@@ -350,9 +364,9 @@ class LogTable:
                         return F.lit(None).cast(f.dataType)
                     if c.values:
                         found = {k.lower(): v for k, v in zip(c.columns, c.values, strict=True)}
-                        if f.name.lower() in found and found[f.name.lower()].lower() != "default":
-                            return F.expr(found[f.name.lower()]).cast(f.dataType)
-                        return keep if c.action == "update" and f.name.lower() not in found else F.lit(None).cast(f.dataType)
+                        if f.name.lower() in found:
+                            return told_value(found[f.name.lower()], f)
+                        return keep if c.action == "update" else default_of(f)
                     return F.col(f"{u}.`{f.name}`").cast(f.dataType) if f.name.lower() in given else keep
 
                 in_source, in_target = F.col(f"{u}.__in_source"), F.col(f"{t}.__in_target")
