@@ -48,3 +48,18 @@ def total_length(df: DataFrame, column: str) -> DataFrame:
             yield pd.DataFrame({"total": [int(f[column].str.len().sum())]})
 
     return df.select(column).mapInPandas(work, "total long").groupBy().agg(F.sum("total").alias("total"))
+
+
+@F.pandas_udf(LongType())
+def checksum(values: pd.Series) -> int:
+    """An aggregate: the sum of squares modulo 9973."""
+    return int((values.astype("int64") ** 2 % 9973).sum() % 9973)
+
+
+@F.udtf(returnType="place int, digit int")
+class Digits:
+    """A table function: the decimal digits of a whole number, from the left."""
+
+    def eval(self, value: int):
+        for place, digit in enumerate(str(abs(value)), 1):
+            yield place, int(digit)

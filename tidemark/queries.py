@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import udfs
 from tidemark.functions.partitions import typed
 from tidemark.operators import joins
+from tidemark.operators.log_table import LogTable, LogTableError
 from tidemark.session import Lake
 from tidemark.sources.files import workspace
 from tidemark.streaming import windows
@@ -453,6 +454,253 @@ def stream_tumbling(spark, sf_dir):
     return windows.drained(windows.tumbling(windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type"), "stream-tumbling", "complete")
 
 
+@query("SELECT event_type, t.start AS start, count(*) AS n FROM (SELECT event_type, date_trunc('day', ts) AS d FROM events) e, (VALUES (0), (1)) AS o(k), LATERAL (SELECT e.d - o.k * INTERVAL 1 DAY AS start) t GROUP BY ALL")
+def stream_sliding(spark, sf_dir):
+    stream = windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.drained(windows.sliding(stream, "ts", "event_type"), "stream-sliding", "complete")
+
+
+@query("SELECT event_type, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT event_type, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY event_type ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY event_type, s")
+def stream_sessions(spark, sf_dir):
+    stream = windows.events(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.drained(windows.sessions(stream, "ts", "event_type"), "stream-sessions", "complete")
+
+
+@query("SELECT c_nationkey, CAST(sum(c_custkey * c_custkey % 9973) % 9973 AS BIGINT) AS c FROM customer GROUP BY c_nationkey")
+def udaf_checksum(spark, sf_dir):
+    return Place(spark, sf_dir, database=False).read("customer").groupBy("c_nationkey").agg(udfs.checksum("c_custkey").alias("c"))
+
+
+@query("SELECT n_nationkey, CAST(i AS INTEGER) AS place, CAST(substr(CAST(n_nationkey AS VARCHAR), i, 1) AS INTEGER) AS digit FROM nation, generate_series(1, length(CAST(n_nationkey AS VARCHAR))) AS g(i)")
+def udtf_digits(spark, sf_dir):
+    p = Place(spark, sf_dir, database=False)
+    spark.udtf.register("digits_of", udfs.Digits)
+    return spark.sql(f"select n_nationkey, place, digit from {p.view('nation')}, lateral digits_of(n_nationkey)")
+
+
+# -- the catalog --------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_regionkey < 3")
+def generate_for_table(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    path = f"{p.dir}/t"
+    p.sql(f"create table {{db}}.t (n_name string, n_regionkey int) using csv options ('header' = 'true') partitioned by (n_regionkey) location '{path}'")
+    p.sql(f"insert into {{db}}.t select n_name, n_regionkey from {p.view('nation')}")
+    p.sql("GENERATE DELTALOG FOR TABLE {db}.t USING csv")
+    return LogTable(spark, path).read().where("n_regionkey < 3")
+
+
+@query("SELECT * FROM (VALUES ('cat'), ('spark_catalog')) AS x(catalog)")
+def show_catalogs(spark, sf_dir):
+    return Place(spark, sf_dir, database=False).sql("SHOW CATALOGS;")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
+def temporary_view(spark, sf_dir):
+    p = Place(spark, sf_dir, database=False)
+    name = f"even_{uuid.uuid4().hex[:8]}"
+    p.sql(f"create temporary view {name} as select n_nationkey from {p.view('nation')} where n_nationkey % 2 = 0")
+    return p.sql(f"select * from {name}")
+
+
+@query("SELECT * FROM (VALUES ('kept', TRUE, 'v')) AS x(namespace, there, property)")
+def namespaces(spark, sf_dir):
+    """Created, altered, listed, loaded and dropped ones."""
+    p = Place(spark, sf_dir)
+    cat, own = p.lake.catalogs["cat"], p.db.split(".")[1]
+    p.sql("create database {db}_gone")
+    cat.create_namespace(f"{own}_kept", properties={"k": "u"})
+    cat.alter_namespace(f"{own}_kept", {"k": "v"})
+    p.sql("drop database {db}_gone")
+    told = "".join(cat.load_namespace(f"{own}_kept").values())
+    listed = p.sql("show namespaces in cat").where(F.col("namespace").startswith(f"{own}_"))
+    there = cat.namespace_exists(f"{own}_kept") and not cat.namespace_exists(f"{own}_gone")
+    return listed.select(F.replace("namespace", F.lit(f"{own}_"), F.lit("")).alias("namespace"), F.lit(there).alias("there"), F.lit("v" if "(k,v)" in told else told).alias("property"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def table_renamed(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    r = p.view("region")
+    p.sql(f"create table {{db}}.a using delta as select * from {r}")
+    p.sql(f"create table {{db}}.b using delta as select * from {r} where false")
+    p.sql("drop table {db}.b")
+    p.sql(f"alter table {{db}}.a rename to {p.db}.b")
+    return p.sql("select * from {db}.b")
+
+
+@query("SELECT count(*) AS n FROM supplier")
+def registry_reopened(spark, sf_dir):
+    """A log table is found by another session facade over the same warehouse."""
+    p = Place(spark, sf_dir)
+    p.sql(f"create table {{db}}.t using delta as select * from {p.view('supplier')}")
+    return Lake(spark, ("cat",), warehouse=f"{p.dir}/warehouse").sql(f"select count(*) as n from {p.db}.t")
+
+
+@query("SELECT n_nationkey AS id, n_name AS v FROM nation WHERE n_nationkey = 3")
+def alias_is_no_table(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql(f"create table {{db}}.t using delta as select n_nationkey as id, n_name as v from {p.view('nation')}")
+    return p.sql("select o.id, o.v from {db}.t o where o.id = 3")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def one_part_name(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql(f"create table {{db}}.t using delta as select * from {p.view('nation')}")
+    before = spark.catalog.currentDatabase()
+    p.sql("use {db}")
+    try:
+        return p.sql("select t.n_name from t where t.n_regionkey = 1")
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+
+
+# -- changes of log tables ----------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey AS id, 3 AS b, 'x' AS c FROM nation")
+def column_default(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql("create table {db}.t (id int, b int default 3, c string default 'x') using delta")
+    p.sql(f"insert into {{db}}.t (id, b) select n_nationkey, 9 from {p.view('nation')}")
+    p.sql("update {db}.t set b = default")
+    return p.sql("select * from {db}.t")
+
+
+@query("SELECT 1 AS place, 'q' AS name UNION ALL SELECT 2, 'id' UNION ALL SELECT 3, 'p' UNION ALL SELECT 4, 's'")
+def columns_in_place(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql("create table {db}.t (id int, s struct<a: int>) using delta")
+    p.sql("alter table {db}.t add columns (p int after id, q string first, s.b int)")
+    names = p.sql("select * from {db}.t").columns
+    return spark.createDataFrame(list(enumerate(names, 1)), "place int, name string")
+
+
+@query("SELECT DISTINCT 'n_regionkey=' || n_regionkey AS partition FROM nation")
+def show_partitions(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql(f"create table {{db}}.t using delta partitioned by (n_regionkey) as select n_name, n_regionkey from {p.view('nation')}")
+    return p.sql("show partitions {db}.t")
+
+
+@query("SELECT n_name, CAST(NULL AS BIGINT) AS extra FROM nation")
+def log_columns_replaced(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql(f"create table {{db}}.t using delta as select n_nationkey, n_name, n_regionkey from {p.view('nation')}")
+    p.sql("alter table {db}.t drop column n_regionkey")
+    p.sql("alter table {db}.t replace columns (n_name string, extra bigint)")
+    return p.sql("select * from {db}.t")
+
+
+@query("SELECT * FROM (VALUES ('a', '1'), ('c', '3')) AS x(k, v)")
+def log_properties(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    p.sql("create table {db}.t (x int) using delta")
+    p.sql("alter table {db}.t set tblproperties ('a' = '1', 'b' = '2', 'c' = '3')")
+    p.sql("alter table {db}.t unset tblproperties ('b')")
+    held = p.lake.log_table(*p.db.split("."), "t").snapshot().properties
+    return spark.createDataFrame(sorted(held.items()), "k string, v string")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey > 3")
+def log_constraint(spark, sf_dir):
+    """Rows that break a rule are refused, those that do not are taken."""
+    p = Place(spark, sf_dir)
+    s = p.view("supplier")
+    p.sql("create table {db}.t (s_suppkey bigint) using delta")
+    p.sql("alter table {db}.t add constraint large check (s_suppkey > 3)")
+    p.sql(f"insert into {{db}}.t select s_suppkey from {s} where s_suppkey > 3")
+    try:
+        p.sql(f"insert into {{db}}.t select s_suppkey from {s}")
+    except Exception as e:  # noqa: BLE001
+        if "breaks constraint" not in str(e):
+            raise
+    return p.sql("select * from {db}.t")
+
+
+@query("SELECT r_regionkey FROM region WHERE r_regionkey > 2")
+def log_location(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    r = p.view("region")
+    p.sql(f"create table {{db}}.a using delta as select r_regionkey from {r}")
+    p.sql(f"create table {{db}}.b using delta as select r_regionkey from {r} where r_regionkey > 2")
+    p.sql(f"alter table {{db}}.a set location '{p.lake.log_table(*p.db.split('.'), 'b').location}'")
+    return p.sql("select * from {db}.a")
+
+
+@query("SELECT n_name AS v FROM nation")
+def log_replaced(spark, sf_dir):
+    """IF NOT EXISTS leaves a table as it is, OR REPLACE does not."""
+    p = Place(spark, sf_dir)
+    n = p.view("nation")
+    p.sql(f"create table {{db}}.t using delta as select n_nationkey as k from {n}")
+    p.sql("create table if not exists {db}.t (other int) using delta")
+    assert p.sql("select * from {db}.t").columns == ["k"]
+    p.sql(f"create or replace table {{db}}.t using delta as select n_name as v from {n}")
+    return p.sql("select * from {db}.t")
+
+
+@query("SELECT CASE WHEN n_regionkey = 0 THEN NULL ELSE CAST(n_regionkey AS INTEGER) END AS p, count(*) AS n FROM nation GROUP BY 1")
+def log_null_partition(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    path = f"{p.dir}/t"
+    p.read("nation").select("n_name", F.expr("nullif(n_regionkey, 0)").alias("p")).write.partitionBy("p").parquet(path)
+    p.sql(f"generate deltalog for location '{path}' using parquet")
+    return LogTable(spark, path).read().groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 7 AS files, count(*) AS n FROM customer")
+def log_file_count(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    path = p.export(p.read("customer").repartition(7), "parquet")
+    log = LogTable(spark, path)
+    log.generate("parquet")
+    return log.read().agg(F.lit(len(log.snapshot().files)).alias("files"), F.count("*").alias("n"))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 10, r_name FROM region")
+def save_as_table(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    r = p.read("region")
+    p.lake.save_as_table(r, f"{p.db}.t", "delta")
+    p.lake.save_as_table(r.selectExpr("r_regionkey + 10", "r_name"), f"{p.db}.t", "delta", "append")
+    p.lake.save_as_table(r, f"{p.db}.t", "delta", "ignore")
+    return p.sql("select * from {db}.t")
+
+
+@query("SELECT r_regionkey FROM region WHERE r_regionkey = 0")
+def insert_if_not_exists_refused(spark, sf_dir):
+    p = Place(spark, sf_dir)
+    r = p.view("region")
+    p.sql(f"create table {{db}}.t using delta partitioned by (r_regionkey) as select r_name, r_regionkey from {r} where r_regionkey = 0")
+    try:
+        p.sql(f"insert overwrite {{db}}.t partition (r_regionkey = 0) if not exists select 'x' from {r}")
+    except LogTableError:
+        return p.sql("select r_regionkey from {db}.t")
+    raise AssertionError("it was not refused")
+
+
+# -- names that a projection has left behind ----------------------------------------------------------
+
+plain("aggregate_star", "select count(distinct *) as n from {nation}", "select count(*) as n from (select distinct * from nation)")
+plain("case_insensitive", "select N_Name as n, T.n_NATIONKEY as k from {nation} t where N_REGIONKEY = 2", "select n_name as n, n_nationkey as k from nation where n_regionkey = 2")
+plain("join_anti_rows", "select p_partkey from {part} left anti join (select * from {lineitem} where l_quantity > 45) l on p_partkey = l_partkey", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 45)")
+
+
+@query("SELECT n_name FROM nation WHERE n_regionkey = 1")
+def filter_by_hidden(spark, sf_dir):
+    n = Place(spark, sf_dir, database=False).read("nation")
+    return n.select("n_name").filter(n["n_regionkey"] == 1)
+
+
+@query("SELECT n_name FROM nation")
+def repartition_by_missing(spark, sf_dir):
+    n = Place(spark, sf_dir, database=False).read("nation")
+    return n.select("n_name").repartition(3, n["n_regionkey"])
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders to CSV, COPY INTO a table of catalog ``cat``, and totals by priority."""
     p = Place(spark, sf_dir)

@@ -19,6 +19,11 @@ def tumbling(stream: DataFrame, time: str, key: str, width: str = "1 day", late:
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("start"), "n")
 
 
+def sliding(stream: DataFrame, time: str, key: str, width: str = "2 days", step: str = "1 day", late: str = "1 day") -> DataFrame:
+    """(key, start, n) of each window of ``width``; one begins every ``step``, so an event counts in several."""
+    return stream.withWatermark(time, late).groupBy(F.window(time, width, step), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("window.start").alias("start"), "n")
+
+
 def sessions(stream: DataFrame, time: str, key: str, gap: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(key, start, n) of each run of events with no longer gap than ``gap``."""
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("start"), "n")
