@@ -271,6 +271,22 @@ class TestLogTables:
         lake.sql(f"delete from {t} where id = 5")
         assert rows(lake.sql(f"select id from {t}")) == [(1,), (2,), (3,), (4,)]
 
+    def test_commits_are_seen_whole_or_not_at_all(self, lake, t, monkeypatch):
+        log = lake.log_table(*t.split("."))
+        folder = f"{log.location}/_delta_log"
+        before = [n for n in log.files.names(folder) if not n.startswith(".")]
+
+        def broken():
+            yield {"remove": {"path": "x"}}
+            raise RuntimeError("the writer dies")
+
+        with pytest.raises(RuntimeError):
+            log.commit(log.versions()[-1] + 1, "WRITE", broken())
+        assert [n for n in log.files.names(folder) if not n.startswith(".")] == before
+        with pytest.raises(FileExistsError):
+            log.commit(log.versions()[-1], "WRITE", [])
+        assert log.read().count() == 4
+
     def test_defaults(self, lake, db):
         lake.sql(f"create table {db}.d (id int, b int default 3 comment 'x, y', c string default 'a, b') using delta")
         lake.sql(f"insert into {db}.d (id) values (1)")

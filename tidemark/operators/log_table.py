@@ -124,7 +124,7 @@ class LogTable:
                 yield json.dumps(a, ensure_ascii=False)
 
         self.files.make(f"{self.location}/{LOG}")
-        self.files.write(f"{self.location}/{LOG}/{version:020d}.json", lines())
+        self.files.publish(f"{self.location}/{LOG}/{version:020d}.json", lines())
         return version
 
     def attempt(self, work: Callable[[Snapshot], tuple[str, list[dict], dict]], tries: int = 5) -> int:

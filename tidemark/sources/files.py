@@ -46,6 +46,26 @@ class Files:
         finally:
             stream.close()
 
+    def publish(self, text: str, lines) -> None:
+        """Writes lines to a new file that readers see whole or not at all; raises FileExistsError if it is there.
+
+        The lines go to a hidden file beside it, which then gets the name by a rename that does not overwrite.
+        """
+        folder, _, name = text.rpartition("/")
+        hidden = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+        self.write(hidden, lines)
+        fs = self._jvm.org.apache.hadoop.fs
+        target = self.fs(text).makeQualified(self.path(text))
+        way = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+        way[0] = fs.Options.Rename.NONE
+        try:
+            fs.FileContext.getFileContext(target.toUri(), self._conf).rename(self.fs(hidden).makeQualified(self.path(hidden)), target, way)
+        except Exception as error:
+            self.delete(hidden)
+            if self.exists(text):
+                raise FileExistsError(text) from error
+            raise
+
     def write(self, text: str, lines, overwrite: bool = False) -> None:
         """Writes lines to a new file; raises if it is there and may not be overwritten."""
         try:
@@ -92,6 +112,8 @@ def workspace(spark: SparkSession, label: str) -> str:
     """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one if that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
