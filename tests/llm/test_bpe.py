@@ -59,9 +59,11 @@ def test_documents(spark, library):
     rows = [(1, "Some Text here.", "x"), (2, None, "y"), (3, "", "z"), (1, "Some Text here.", "x"), (None, "long " * 20000, "w")]
     got = bpe_round_trip(spark.createDataFrame(rows, "doc_id bigint, text string, n_tokens string"), PATH).collect()
     assert len(got) == 5
-    for r, (i, text, _) in zip(sorted(got, key=repr), sorted(rows, key=repr), strict=True):
-        del i, text
-        assert len(r.ids_sha256) == 64
+    for r, (i, text, _) in zip(sorted(got, key=lambda r: str(r.doc_id)), sorted(rows, key=lambda r: str(r[0])), strict=True):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.doc_id, r.n_tokens) == (i, len(ids)) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     nothing = hashlib.sha256(b"").hexdigest()
     assert [tuple(r) for r in got if r.doc_id in (2, 3)] == [(2, 0, nothing, nothing), (3, 0, nothing, nothing)]
     assert [r.n_tokens for r in got if r.doc_id is None] == [20000]
