@@ -47,6 +47,28 @@ def test_news_near_a_sensitive_word_is_added():
     assert secrets.marginal_bytes(random_, "") > secrets.marginal_bytes("username_password", "")
 
 
+def test_repeats_of_a_key_are_all_judged_as_the_first_would_be():
+    key = "kQ9xZ2vLp7Rt4WbN8sYc"
+    line = f"the private key of the second host in the long list is {key} and it is good until the end of the year\n"
+    for text in (line * 3, f"auth_key={key}\n" + "nothing of interest stands on this line, nor on the next one\n" * 2 + f"login with {key}", line + "x " * 480 + line):
+        base, spans = secrets.all_spans(text)
+        assert base == [] and len(spans) == text.count(key), text
+        assert all(text[s:e].endswith(key) for s, _, e in spans)
+
+
+def test_surroundings_hold_no_part_of_a_far_repeat():
+    rng, word = random.Random(3), "kQ9xZ2vLp7Rt4WbN8sYc"
+    for _ in range(300):
+        text = "".join(rng.choice(["-", " ", word, "." * rng.randint(1, 400)]) for _ in range(rng.randint(1, 25)))
+        for m in re.finditer(word, text):
+            low, high = max(0, m.start() - secrets.AROUND), m.end() + secrets.AROUND
+            keep = [not (m.start() <= i < m.end()) for i in range(len(text))]
+            for r in re.finditer(word, text):
+                if r.end() + secrets.NEAR <= m.start() or r.start() >= m.end() + secrets.NEAR:
+                    keep[r.start() : r.end()] = [False] * len(word)
+            assert secrets.surroundings(text, *m.span()) == "".join(c for i, c in enumerate(text) if keep[i] and low <= i < high)
+
+
 def test_base_spans_stay():
     text = 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" key kQ9xZ2vLp7Rt4WbN8sYc'
     base, spans = secrets.all_spans(text)

@@ -7,7 +7,9 @@ text around the candidate, and fed letters as they are frequent in identifiers,
 entropy-coded by them; what the candidate adds to that is its marginal size. Repeats and known identifiers
 cost next to nothing, other words and names some 0.5 to 0.8 bytes a character, random material a byte and
 more, so the marginal size alone tells a secret, whatever characters it is made of. Keys of 16 to 20 small
-letters and digits may pass for names. A key that its surroundings repeat is no news.
+letters and digits may pass for names. Repeats of a candidate, and of its parts between equals signs, are cut out
+of the surroundings, so a key that is set and used again is judged in each place as if it stood alone; only what
+stands once more within ``NEAR`` characters of itself is no news there.
 
 Offsets are code points, ends exclusive. A null text is an empty one and has no spans; repeated rows
 give repeated rows; texts of any length are scanned whole; extra columns are not looked at.
@@ -44,8 +46,8 @@ IDENTIFIERS = (
     b"return function const string number boolean object array index length value result error message 0123456789 "
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ \n"
 )
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-AROUND, NEAR = 1024, 48
+SHORTEST, AROUND, NEAR = 16, 1024, 48
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 FRAME = 3  # bytes by which a size may be off
 LETTERS = "".join(random.Random(5).choices(IDENTIFIERS.decode().split("0123456789")[0], k=1024)).encode()
 
@@ -66,6 +68,23 @@ def marginal_bytes(candidate: str, around: str) -> int:
     return len(zip_.compress(LETTERS + candidate.encode("utf-8"))) - len(zip_.compress(LETTERS))
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """The text around a candidate, without it and without its repeats that are not right beside it."""
+    low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+    word, cuts = text[start:end], [(start, end)]
+    for part in {word, *(p for p in word.split("=") if len(p) >= SHORTEST)}:
+        at = text.find(part, max(0, low - len(part) + 1), high + len(part) - 1)
+        while at >= 0:
+            if at + len(part) + NEAR <= start or at >= end + NEAR:
+                cuts.append((at, at + len(part)))
+            at = text.find(part, at + 1, high + len(part) - 1)
+    out, done = [], low
+    for a, b in sorted(cuts):
+        out.append(text[done:a] if a > done else "")
+        done = max(done, b)
+    return "".join([*out, text[done:high] if done < high else ""])
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.8) -> list[tuple[int, int, int]]:
     """Strings near a sensitive word whose marginal size is ``least`` of their length and a few bytes, or more.
 
@@ -85,8 +104,7 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], least: float = 0.8
             continue
         word = m[0]
         if SENSITIVE.search(text, max(0, start - NEAR), min(len(text), end + NEAR)):
-            around = text[max(0, start - AROUND) : start] + text[end : end + AROUND]
-            if marginal_bytes(word, around) >= least * len(word) + FRAME:
+            if marginal_bytes(word, surroundings(text, start, end)) >= least * len(word) + FRAME:
                 out.append((start, 3, end))
     return out
 
