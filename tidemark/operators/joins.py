@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the right side's values at the latest time not after its own (null if there is none).
 
     Both sides go through one sort by key and time, and a window carries the last right row on; no pair
     of rows is ever made. At one time, right rows come first; of several, that with the greatest values counts.
+    A null time is neither before nor after any other: such left rows get nulls, such right rows don't count.
+
+    ``bucket`` is a function of the time that never falls, such as ``lambda t: F.date_trunc("day", t)``. With it the
+    rows of a key are sorted bucket by bucket, in as many tasks: the last right row of each bucket is aggregated
+    before it is shuffled, and a window over these few rows tells what a bucket starts with.
     """
-    carried = F.struct(*values)
+    carried, right = F.struct(*values), right.where(F.col(time).isNotNull())
     nothing = F.lit(None).cast(right.select(carried.alias("x")).schema[0].dataType)
-    a = left.select(*by, time, F.struct(*left.columns).alias("row"), nothing.alias("seen"), F.lit(1).alias("side"))
-    b = right.select(*by, time, F.lit(None).cast(a.schema["row"].dataType).alias("row"), carried.alias("seen"), F.lit(0).alias("side"))
-    order = Window.partitionBy(*by).orderBy(time, "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("seen", F.last("seen", ignorenulls=True).over(order)).where("side = 1")
+    part = (bucket(F.col(time)) if bucket else F.lit(0)).alias("bucket__")
+    a = left.select(*by, time, part, F.struct(*left.columns).alias("row"), nothing.alias("seen"), F.lit(1).alias("side"))
+    no_row = F.lit(None).cast(a.schema["row"].dataType).alias("row")
+    rows = a.unionByName(right.select(*by, time, part, no_row, carried.alias("seen"), F.lit(0).alias("side")))
+    keys = [*by, "bucket__"]
+    if bucket:
+        last = right.groupBy(*by, part).agg(F.max(F.struct(F.col(time).alias("t"), carried.alias("seen")))["seen"].alias("seen"))
+        ends = a.select(*keys).distinct().select(*keys, nothing.alias("seen")).unionByName(last).groupBy(*keys).agg(F.max("seen").alias("seen"))
+        before = Window.partitionBy(*by).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.select(*keys, F.last("seen", ignorenulls=True).over(before).alias("seen")).where("seen IS NOT NULL")
+        no_time = F.lit(None).cast(a.schema[time].dataType).alias(time)
+        rows = rows.unionByName(starts.select(*keys, no_time, no_row, "seen", F.lit(-1).alias("side")))
+    order = Window.partitionBy(*keys).orderBy(F.col(time).asc_nulls_first(), "side", "seen").rowsBetween(Window.unboundedPreceding, 0)
+    seen = F.when(F.col(time).isNotNull(), F.last("seen", ignorenulls=True).over(order))
+    both = rows.withColumn("seen", seen).where("side = 1")
     return both.select("row.*", *[F.col("seen")[v].alias(v) for v in values])
 
 

@@ -411,7 +411,7 @@ def repartition_by_hidden(spark, sf_dir):
 def join_as_of(spark, sf_dir):
     e = Place(spark, sf_dir, database=False).read("events")
     bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("seen"))
-    return joins.as_of(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["seen"]).select("event_id", "seen")
+    return joins.as_of(e.select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", ["seen"], lambda t: F.date_trunc("day", t)).select("event_id", "seen")
 
 
 @query("SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice BETWEEN s_acctbal - 20 AND s_acctbal + 20")
