@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -139,3 +140,47 @@ def test_columns_with_names_of_our_own(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(1, text, "a", "b", 1, 2), (2, text, "c", "d", 3, 4)], "doc_id bigint, text string, th__ string, spans__ string, th int, id int")
     assert sorted(map(tuple, dedup(docs).collect())) == [(1, text, "a", "b", 1, 2), (2, "", "c", "d", 3, 4)]
+
+
+class Handed:
+    """Stands in for documents and gives the function that workers would run."""
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("made", [substrings.units, substrings.windows_of])
+def test_a_worker_holds_the_arrays_of_one_slice(spark, made):
+    """For 4 MB of text: those of a slice are gone before the next is hashed."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 7))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=350)) for _ in range(6000)]
+    cols = {"id": range(6000), "text": texts, "th": range(6000), "units": [[{"lo": 0, "n": 8}]] * 6000}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
+    run = made(Handed(), 20)
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in run(iter([batch, batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows > 10_000
+    assert peak < 72 << 20
+
+
+def test_a_batch_is_gone_before_the_next_is_read(spark):
+    held = []
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes() - before)
+            yield pa.RecordBatch.from_pydict({"id": pa.array(range(4000)), "text": pa.array(["some words " * 200] * 4000), "th": pa.array(range(4000))})
+
+    run = substrings.units(Handed(), 20)
+    before = pa.total_allocated_bytes()
+    for _ in run(batches()):
+        pass
+    assert len(held) == 3 and max(held) < 4 << 20

@@ -93,6 +93,14 @@ def slices(batch: pa.RecordBatch, rows: int, chars: int, column: int = 1) -> Ite
         yield batch.slice(start)
 
 
+def each_slice(batches: Iterator[pa.RecordBatch], work: Callable[[pa.RecordBatch], pa.RecordBatch | None], rows: int, chars: int, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """``work`` on every slice of the batches, without what it gives as None. What one slice needed is gone before its
+    result is handed on, and a batch before the next is read, so two never stand side by side."""
+    for batch in batches:
+        yield from (out for out in map(work, slices(batch, rows, chars, column)) if out is not None)
+        del batch
+
+
 def per_text(
     make: Callable[[], Callable[[list], dict[str, list]]], schema: pa.Schema, rows: int = 4096, chars: int = 4 << 20
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import Scratch, arrow_schema, lean, shuffle_partitions, slices, spare
+from tidemark.llm.common import Scratch, arrow_schema, each_slice, lean, shuffle_partitions, spare
 from tidemark.llm.words import Texts, least, mix
 
 GRAM = 5
@@ -57,51 +57,59 @@ def units(docs: DataFrame, window: int) -> DataFrame:
     arrow = arrow_schema(T._parse_datatype_string(f"{UNIT}, again boolean"))
     width, bits = window - GRAM + 1, np.uint64((1 << 28) - 1)
 
+    def of_slice(part):
+        texts = Texts(part.column(1), twin=True)
+        if len(texts.hash) < window:
+            return None
+        start = np.flatnonzero(texts.whole(window))
+        if not len(start):
+            return None
+        del texts.begin, texts.stop
+        gram = texts.sequences(GRAM)
+        ranked = gram & ~bits
+        ranked |= np.arange(len(gram), dtype=np.uint64)
+        at = least(ranked, width)[start]
+        del ranked
+        at = (at & bits).view(np.int64)
+        new = np.ones(len(start), bool)
+        new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | (texts.text[start[1:]] != texts.text[start[:-1]])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(start)))
+        lo, hi, at = start[first], start[first + count - 1], at[first]
+        mh = gram[at]
+        del start, new, gram
+        long = texts.sequences(window, twin=True)
+        shape = ((at - lo) * 64 + count).astype(np.uint64)
+        uh = mix(long[lo] + np.uint64(3) * mix(long[hi] + shape))
+        del long
+        owner = texts.text[lo]
+        ids = part.column(0).to_numpy(zero_copy_only=False)[owner]
+        th = part.column(2).to_numpy()[owner]
+        place = lo - texts.first[owner]
+        del texts
+        order = np.lexsort((place, ids, mh, uh))
+        s_uh, s_mh, s_id, s_at = uh[order], mh[order], ids[order], place[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (s_uh[1:] == s_uh[:-1]) & (s_mh[1:] == s_mh[:-1])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+        later = same & ((s_id != s_id[head]) | (s_at != s_at[head]))
+        again = np.zeros(len(order), bool)
+        again[order] = later
+        twin = np.zeros(len(order), bool)
+        twin[order] = same & ~later
+        old = np.flatnonzero(again)  # in order of places, so what overlaps is in a row
+        joins = np.zeros(len(old), bool)
+        joins[1:] = (owner[old[1:]] == owner[old[:-1]]) & (place[old[1:]] <= (place + count)[old[:-1]] + window - 1)
+        begin = np.flatnonzero(~joins)
+        end = np.append(begin[1:], len(old))[: len(begin)] - 1
+        keep = np.concatenate([np.flatnonzero(~twin & ~again), old[begin]])
+        size = np.concatenate([count[~twin & ~again], (place + count)[old[end]] - place[old[begin]]])
+        mh, uh = (np.where(again, np.uint64(0), h).view(np.int64) for h in (mh, uh))
+        cols = [mh[keep], uh[keep], ids[keep], th[keep], place[keep], size, again[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, 8192, SLICE):
-                texts = Texts(part.column(1), twin=True)
-                total = len(texts.hash)
-                if total < window:
-                    continue
-                gram, whole = texts.sequences(GRAM), texts.whole(window)
-                ranked = gram & ~bits | np.arange(len(gram), dtype=np.uint64)
-                start = np.flatnonzero(whole)
-                if not len(start):
-                    continue
-                at = (least(ranked, width)[start] & bits).astype(np.int64)
-                new = np.ones(len(start), bool)
-                new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1) | (texts.text[start[1:]] != texts.text[start[:-1]])
-                first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(start)))
-                lo, hi, at = start[first], start[first + count - 1], at[first]
-                long = texts.sequences(window, twin=True)
-                shape = ((at - lo) * 64 + count).astype(np.uint64)
-                mh, uh = gram[at], mix(long[lo] + np.uint64(3) * mix(long[hi] + shape))
-                owner = texts.text[lo]
-                ids = part.column(0).to_numpy(zero_copy_only=False)[owner]
-                place = lo - texts.first[owner]
-                order = np.lexsort((place, ids, mh, uh))
-                s_uh, s_mh, s_id, s_at = uh[order], mh[order], ids[order], place[order]
-                same = np.zeros(len(order), bool)
-                same[1:] = (s_uh[1:] == s_uh[:-1]) & (s_mh[1:] == s_mh[:-1])
-                head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-                later = same & ((s_id != s_id[head]) | (s_at != s_at[head]))
-                again = np.zeros(len(order), bool)
-                again[order] = later
-                twin = np.zeros(len(order), bool)
-                twin[order] = same & ~later
-                old = np.flatnonzero(again)  # in order of places, so what overlaps is in a row
-                joins = np.zeros(len(old), bool)
-                joins[1:] = (owner[old[1:]] == owner[old[:-1]]) & (place[old[1:]] <= (place + count)[old[:-1]] + window - 1)
-                begin = np.flatnonzero(~joins)
-                end = np.append(begin[1:], len(old))[: len(begin)] - 1
-                keep = np.concatenate([np.flatnonzero(~twin & ~again), old[begin]])
-                size = np.concatenate([count[~twin & ~again], (place + count)[old[end]] - place[old[begin]]])
-                mh, uh = (np.where(again, np.uint64(0), h).view(np.int64) for h in (mh, uh))
-                th = part.column(2).to_numpy()[owner]
-                cols = [mh[keep], uh[keep], ids[keep], th[keep], place[keep], size, again[keep]]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        return each_slice(batches, of_slice, 8192, SLICE)
 
     return docs.select("id", "text", "th").where("id is not null").mapInArrow(lean(run), f"{UNIT}, again boolean")
 
@@ -233,22 +241,23 @@ def windows_of(docs: DataFrame, window: int) -> DataFrame:
     schema = "wh bigint, mh bigint, id bigint, th bigint, lo int"
     arrow = arrow_schema(T._parse_datatype_string(schema))
 
+    def of_slice(part):
+        texts = Texts(part.column("text"), twin=True)
+        if len(texts.hash) < window:
+            return None
+        lists = part.column("units")
+        items = lists.flatten()
+        owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+        lo, n = items.field(0).to_numpy().astype(np.int64), items.field(1).to_numpy().astype(np.int64)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start, owner = np.repeat(lo, n) + nth, np.repeat(owner, n)
+        at = texts.first[owner] + start
+        long, half = (texts.sequences(window, twin)[at].view(np.int64) for twin in (False, True))
+        cols = [long, half, part.column("id").to_numpy()[owner], part.column("th").to_numpy()[owner], start]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
     def run(batches):
-        for batch in batches:
-            for part in slices(batch.select(["id", "text", "th", "units"]), 8192, SLICE):
-                texts = Texts(part.column(1), twin=True)
-                if len(texts.hash) < window:
-                    continue
-                long, half = texts.sequences(window), texts.sequences(window, twin=True)
-                lists = part.column(3)
-                items = lists.flatten()
-                owner = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
-                lo, n = items.field(0).to_numpy().astype(np.int64), items.field(1).to_numpy().astype(np.int64)
-                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start, owner = np.repeat(lo, n) + nth, np.repeat(owner, n)
-                at = texts.first[owner] + start
-                cols = [long[at].view(np.int64), half[at].view(np.int64), part.column(0).to_numpy()[owner], part.column(2).to_numpy()[owner], start]
-                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+        return each_slice(map(lambda b: b.select(["id", "text", "th", "units"]), batches), of_slice, 8192, SLICE)
 
     return docs.mapInArrow(lean(run), schema)
 
@@ -297,17 +306,18 @@ def dedup_digest(docs: DataFrame, window: int = 20, batches: int = 4, id_col: st
     schema = f"{id_col} bigint, n_words bigint, n_removed bigint, kept_sha256 string"
     arrow = arrow_schema(T._parse_datatype_string(schema))
 
+    def of_slice(part):
+        texts = Texts(part.column(1))
+        data = texts.data.tobytes()
+        removed, digest = [], []
+        for i, spans in enumerate(part.column(2).to_pylist()):
+            keep = _kept(texts, i, spans)
+            removed.append(int((~keep).sum()))
+            digest.append(hashlib.sha256(_joined(texts, data, i, keep)).hexdigest())
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(texts.words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest)], schema=arrow)
+
     def run(parts):
-        for batch in parts:
-            for part in slices(batch, 4096, SLICE):
-                texts = Texts(part.column(1))
-                data = texts.data.tobytes()
-                removed, digest = [], []
-                for i, spans in enumerate(part.column(2).to_pylist()):
-                    keep = _kept(texts, i, spans)
-                    removed.append(int((~keep).sum()))
-                    digest.append(hashlib.sha256(_joined(texts, data, i, keep)).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts.words.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest)], schema=arrow)
+        return each_slice(parts, of_slice, 4096, SLICE)
 
     return both.mapInArrow(lean(run), schema)
 
@@ -326,14 +336,15 @@ def dedup(docs: DataFrame, window: int = 20, batches: int = 4, id_col: str = "do
     arrow = arrow_schema(docs.schema)
     at = docs.columns.index(text_col)
 
+    def of_slice(part):
+        texts = Texts(part.column(at))
+        data, out = texts.data.tobytes(), part.column(at).to_pylist()
+        for i, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
+            if found:
+                out[i] = _joined(texts, data, i, _kept(texts, i, found)).decode("utf-8", "replace")
+        return pa.RecordBatch.from_arrays([pa.array(out, arrow.field(at).type) if i == at else c for i, c in enumerate(part.columns[:-1])], schema=arrow)
+
     def run(parts):
-        for batch in parts:
-            for part in slices(batch, 4096, SLICE, at):
-                texts = Texts(part.column(at))
-                data, out = texts.data.tobytes(), part.column(at).to_pylist()
-                for i, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    if found:
-                        out[i] = _joined(texts, data, i, _kept(texts, i, found)).decode("utf-8", "replace")
-                yield pa.RecordBatch.from_arrays([pa.array(out, arrow.field(at).type) if i == at else c for i, c in enumerate(part.columns[:-1])], schema=arrow)
+        return each_slice(parts, of_slice, 4096, SLICE, at)
 
     return both.mapInArrow(lean(run), docs.schema)
