@@ -39,12 +39,49 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, values: l
     return both.select("row.*", *[F.col("seen")[v].alias(v) for v in values])
 
 
+#: Of a range join: pairs to look at in a cell and in a task, rows of one side in a cell, rows of both sides in a task.
+CELL_PAIRS, TASK_PAIRS, CELL_ROWS, TASK_ROWS = 1 << 18, 1 << 24, 1 << 16, 1 << 20
+
+
 def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
     """Points with the ranges (low to high, both included) that hold them.
 
     Ranges are dealt to buckets of ``width``, which turns the inequality into an equality join that
     can be shuffled; a range costs a row for each bucket that it touches.
+
+    Pairs grow with the product of both sides, however few buckets hold them. So the rows of each bucket are counted
+    first, and a bucket of many pairs is dealt into a grid of cells: a point stands in one row of its grid, a range in
+    one column, told by hashes of all that they hold, and each pair meets in one cell. There are as many tasks as the
+    pairs ask for, so a task's share does not grow. Only the grids' sizes reach the driver, fewer than one for a
+    thousand rows. Points (or ranges) that are equal in all columns share a row (or column).
     """
-    p = points.withColumn("bucket__", F.floor(F.col(point) / width))
+    p = points.withColumn("bucket__", F.floor(F.col(point) / width)).where("bucket__ IS NOT NULL")
     r = ranges.withColumn("bucket__", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return p.join(r, "bucket__").where(F.col(point).between(F.col(low), F.col(high))).drop("bucket__")
+    ones = p.select("bucket__", F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(r.select("bucket__", F.lit(0).alias("p"), F.lit(1).alias("r")))
+    sums = ones.groupBy("bucket__").agg(F.sum("p").cast("double").alias("p"), F.sum("r").cast("double").alias("r"))
+
+    def parts(own: str, other: str) -> Column:
+        most = F.greatest(F.lit(CELL_PAIRS**0.5), CELL_PAIRS / F.greatest(F.col(other), F.lit(1.0)))
+        return F.greatest(F.ceil(F.col(own) / F.least(most, F.lit(float(CELL_ROWS)))), F.lit(1))
+
+    grids = sums.withColumns({"rows__": parts("p", "r"), "columns__": parts("r", "p")})
+    total = grids.agg(
+        F.sum(F.col("p") * F.col("r")).alias("pairs"),
+        F.sum(F.col("p") * F.col("columns__") + F.col("r") * F.col("rows__")).alias("rows"),
+        F.collect_list(F.when(F.col("rows__") * F.col("columns__") > 1, F.struct("bucket__", "rows__", "columns__"))).alias("large"),
+    ).first()
+    copying = 1 + int((total["rows"] or 0) / TASK_ROWS)
+    tasks = copying + int((total["pairs"] or 0) / TASK_PAIRS)
+    large = F.broadcast(points.sparkSession.createDataFrame(total["large"], "bucket__ long, rows__ long, columns__ long"))
+    keys = ["bucket__", "rows__", "columns__"]
+
+    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+        told = [f"`{f.name.replace('`', '``')}`" for f in side.schema if "map<" not in (kind := f.dataType.simpleString()) and "variant" not in kind]
+        place = F.when(F.col(own) > 1, F.pmod(F.xxhash64(*told), F.col(own))).otherwise(0)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(other), F.lit(1)) - 1))
+        spread = side.repartition(copying) if copying > 1 else side
+        return spread.join(large, "bucket__", "left").withColumns({own: place, other: every}).repartition(tasks, *keys)
+
+    # Hashed are the ranges of a task's cells; a broadcast or a merge would hold or sort all that stand for one key.
+    met = dealt(p, "rows__", "columns__").join(dealt(r, "columns__", "rows__").hint("shuffle_hash"), keys)
+    return met.where(F.col(point).between(F.col(low), F.col(high))).drop(*keys)

@@ -418,7 +418,7 @@ def join_as_of(spark, sf_dir):
 def join_range(spark, sf_dir):
     p = Place(spark, sf_dir, database=False)
     ranges = p.read("supplier").select("s_suppkey", (F.col("s_acctbal") - 20).alias("low"), (F.col("s_acctbal") + 20).alias("high"))
-    return joins.in_range(p.read("part"), ranges, "p_retailprice", "low", "high", 50.0).select("p_partkey", "s_suppkey")
+    return joins.in_range(p.read("part").select("p_partkey", "p_retailprice"), ranges, "p_retailprice", "low", "high", 50.0).select("p_partkey", "s_suppkey")
 
 
 @query("SELECT n_nationkey, CAST(n_nationkey // 10 + n_nationkey % 10 AS BIGINT) AS digits FROM nation")
